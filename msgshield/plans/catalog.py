@@ -189,3 +189,155 @@ def q_newest_first(spark, sf_dir):
 @register("latest_log")
 def q_latest_log(spark, sf_dir):
     return ev_ops.latest_log(fx.evidence(spark, sf_dir)).select("seq", "pos")
+
+
+# ---------------------------------------------------------------------------
+# Corpus: S1–S5, P1–P4, J3, J9, O3–O5, O7, A4
+# ---------------------------------------------------------------------------
+from ..operators import corpus as corp  # noqa: E402
+from ..session import scratch_path  # noqa: E402
+from ..sources import corpus as src  # noqa: E402
+
+
+@register("csv_scan")
+def q_csv_scan(spark, sf_dir):
+    raw = fx.hindi_raw(spark, sf_dir, string_labels=True).select("ord", "comment_text", "label")
+    path = scratch_path(spark, "csv_scan")
+    src.write_labelled_csv(raw, path)
+    back = src.read_labelled_csv(spark, path)
+    return back.select(F.col("ord").cast("long").alias("ord"), "comment_text", "label")
+
+
+@register("alias_columns")
+def q_alias_columns(spark, sf_dir):
+    parts = [("hindi", fx.hindi_raw(spark, sf_dir).drop("source_name")),
+             ("english", fx.english_raw(spark, sf_dir)),
+             ("hinglish", fx.hinglish_raw(spark, sf_dir))]
+    out = [src.resolve_aliases(df).select(F.lit(name).alias("corpus"), "ord",
+                                          evidence_id("text").alias("id"),
+                                          F.col("label").cast("int").alias("label"))
+           for name, df in parts]
+    return corp.concat_corpora(*out)
+
+
+@register("positional_columns")
+def q_positional_columns(spark, sf_dir):
+    raw = fx.hindi_raw(spark, sf_dir).select(F.col("comment_text").alias("body"),
+                                             F.col("label").alias("target"), "ord")
+    df = src.positional_fallback(src.resolve_aliases(raw))
+    return df.select("ord", evidence_id("text").alias("id"), F.col("label").cast("int").alias("label"))
+
+
+@register("split_route")
+def q_split_route(spark, sf_dir):
+    raw = fx.hindi_raw(spark, sf_dir)
+    return raw.select("ord", "source_name", src.route_split("source_name").alias("split"))
+
+
+def _hindi_specs(spark, sf_dir, with_missing=True):
+    raw = fx.hindi_raw(spark, sf_dir)
+    root = scratch_path(spark, "corpora")
+    specs = []
+    for name in ("hindi_train", "hindi_val", "hindi_test"):
+        path = f"{root}/{name}"
+        src.write_labelled_csv(raw.where(F.col("source_name") == name)
+                                  .select("comment_text", "label", "ord"), path)
+        specs.append((name, path))
+    if with_missing:
+        specs.append(("hindi_extra", f"{root}/hindi_extra_missing"))
+    return specs
+
+
+@register("load_report")
+def q_load_report(spark, sf_dir):
+    _, report = src.load_corpora(spark, _hindi_specs(spark, sf_dir))
+    return report.select("source_name", "split", "status", "rows")
+
+
+@register("clean_examples")
+def q_clean_examples(spark, sf_dir):
+    raw = src.resolve_aliases(fx.hindi_raw(spark, sf_dir, string_labels=True))
+    c = src.clean_examples(raw, keep=["ord"])
+    return c.select("ord", evidence_id("text").alias("id"), F.col("label").alias("label_raw"))
+
+
+@register("lenient_label")
+def q_lenient_label(spark, sf_dir):
+    raw = src.resolve_aliases(fx.hindi_raw(spark, sf_dir, string_labels=True))
+    c = src.clean_examples(raw, keep=["ord"])
+    from ..functions.labels import lenient_label
+    return c.select("ord", F.col("label").alias("label_raw"), lenient_label("label").alias("label"))
+
+
+@register("collapse_classes")
+def q_collapse_classes(spark, sf_dir):
+    e = fx.english_raw(spark, sf_dir)
+    return corp.normalize_english(e.withColumn("class_raw", F.col("class"))) \
+        .select("ord", F.col("class_raw").alias("class"), "label")
+
+
+@register("invert_label")
+def q_invert_label(spark, sf_dir):
+    h = fx.hinglish_raw(spark, sf_dir)
+    return corp.normalize_hinglish(h.withColumn("label_raw", F.col("label"))) \
+        .select("ord", "label_raw", "label")
+
+
+def hindi_examples(spark, sf_dir):
+    raw = src.resolve_aliases(fx.hindi_raw(spark, sf_dir))
+    c = src.clean_examples(raw, keep=["ord", "source_name"])
+    from ..functions.labels import lenient_label
+    return c.select("text", lenient_label("label").alias("label"), F.lit("hindi").alias("corpus"),
+                    src.route_split("source_name").alias("split"), "ord")
+
+
+def extra_examples(spark, sf_dir):
+    e = corp.normalize_english(fx.english_raw(spark, sf_dir)).withColumn("corpus", F.lit("english"))
+    h = corp.normalize_hinglish(fx.hinglish_raw(spark, sf_dir)).withColumn("corpus", F.lit("hinglish"))
+    return corp.concat_corpora(e.select("text", "label", "corpus", "ord"),
+                               h.select("text", "label", "corpus", "ord"))
+
+
+def all_examples(spark, sf_dir):
+    """Hindi with its routed splits + the extra corpora split 90/10 by position."""
+    return corp.concat_corpora(hindi_examples(spark, sf_dir),
+                               corp.positional_split(extra_examples(spark, sf_dir)))
+
+
+@register("concat_corpora")
+def q_concat_corpora(spark, sf_dir):
+    both = corp.concat_corpora(hindi_examples(spark, sf_dir), extra_examples(spark, sf_dir))
+    return both.select("corpus", "ord", evidence_id("text").alias("id"), "label", "split")
+
+
+@register("positional_split")
+def q_positional_split(spark, sf_dir):
+    return corp.positional_split(extra_examples(spark, sf_dir)).select("corpus", "ord", "split")
+
+
+@register("seeded_shuffle")
+def q_seeded_shuffle(spark, sf_dir):
+    train = all_examples(spark, sf_dir).where(F.col("split") == "train")
+    return corp.seeded_shuffle(train, key="ord").select("corpus", "ord", "pos")
+
+
+@register("ensure_validation")
+def q_ensure_validation(spark, sf_dir):
+    df = corp.positional_split(extra_examples(spark, sf_dir))
+    return corp.ensure_validation(df).select("corpus", "ord", "split")
+
+
+@register("head_n")
+def q_head_n(spark, sf_dir):
+    return corp.head(hindi_examples(spark, sf_dir), 10).select("corpus", "ord", "label")
+
+
+@register("split_sizes")
+def q_split_sizes(spark, sf_dir):
+    return corp.split_sizes(all_examples(spark, sf_dir))
+
+
+@register("isolation_check")
+def q_isolation_check(spark, sf_dir):
+    ex = all_examples(spark, sf_dir)
+    return corp.leakage(ex.where(F.col("split") == "train"), ex.where(F.col("split") == "test"))

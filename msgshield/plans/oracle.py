@@ -149,3 +149,122 @@ WITH {EVIDENCE}
 SELECT seq, row_number() OVER (ORDER BY revision DESC, seq DESC) - 1 AS pos FROM ev"""
 
 __all__ = ["ORACLE", "WS"]
+
+# ---------------------------------------------------------------------------
+# Corpus
+# ---------------------------------------------------------------------------
+_LAB = "lab AS (SELECT d.doc_id, d.text, d.lang, l.toxic FROM documents d JOIN labels l ON d.doc_id = l.doc_id)"
+_STR_LABEL = ("CASE doc_id % 5 WHEN 0 THEN '1' WHEN 1 THEN '0' WHEN 2 THEN 'x' "
+              "WHEN 3 THEN '1.9' ELSE NULL END")
+_SPLIT_NAME = ("CASE doc_id % 10 WHEN 0 THEN 'hindi_test' WHEN 1 THEN 'hindi_val' "
+               "ELSE 'hindi_train' END")
+_SPLIT = ("CASE doc_id % 10 WHEN 0 THEN 'test' WHEN 1 THEN 'validation' ELSE 'train' END")
+_EXAMPLES = f"""
+  {_LAB},
+  hindi AS (SELECT text, CAST(1 - toxic AS INTEGER) AS label, 'hindi' AS corpus, {_SPLIT} AS split,
+                   doc_id AS ord FROM lab WHERE lang = 'fr'),
+  extra AS (
+    SELECT text, CAST(CASE WHEN toxic = 0 THEN 1 WHEN doc_id % 2 IN (0, 1) THEN 0 ELSE 1 END AS INTEGER) AS label,
+           'english' AS corpus, doc_id AS ord FROM lab WHERE lang = 'en'
+    UNION ALL
+    SELECT text, CAST(CASE WHEN toxic = 0 THEN 1 ELSE 0 END AS INTEGER), 'hinglish', doc_id
+    FROM lab WHERE lang IN ('es', 'de')
+  ),
+  extra_split AS (
+    SELECT *, CASE WHEN row_number() OVER (PARTITION BY corpus ORDER BY ord) - 1
+                        < CAST(floor(CAST(0.9 AS DOUBLE) * count(*) OVER (PARTITION BY corpus)) AS BIGINT)
+                   THEN 'train' ELSE 'test' END AS split
+    FROM extra
+  ),
+  examples AS (SELECT text, label, corpus, split, ord FROM hindi
+               UNION ALL SELECT text, label, corpus, split, ord FROM extra_split)"""
+
+ORACLE["csv_scan"] = f"""
+WITH {_LAB}
+SELECT doc_id AS ord, text AS comment_text, {_STR_LABEL} AS label FROM lab WHERE lang = 'fr'"""
+
+ORACLE["alias_columns"] = f"""
+WITH {_LAB}
+SELECT 'hindi' AS corpus, doc_id AS ord, sha256(text) AS id, CAST(1 - toxic AS INTEGER) AS label
+FROM lab WHERE lang = 'fr'
+UNION ALL
+SELECT 'english', doc_id, sha256(text), CAST(CASE WHEN toxic = 0 THEN 2 ELSE doc_id % 2 END AS INTEGER)
+FROM lab WHERE lang = 'en'
+UNION ALL
+SELECT 'hinglish', doc_id, sha256(text), CAST(toxic AS INTEGER) FROM lab WHERE lang IN ('es', 'de')"""
+
+ORACLE["positional_columns"] = f"""
+WITH {_LAB}
+SELECT doc_id AS ord, sha256(text) AS id, CAST(1 - toxic AS INTEGER) AS label FROM lab WHERE lang = 'fr'"""
+
+ORACLE["split_route"] = f"""
+WITH {_LAB}
+SELECT doc_id AS ord, {_SPLIT_NAME} AS source_name, {_SPLIT} AS split FROM lab WHERE lang = 'fr'"""
+
+ORACLE["load_report"] = f"""
+WITH {_LAB},
+  names AS (SELECT * FROM (VALUES ('hindi_train'), ('hindi_val'), ('hindi_test'), ('hindi_extra')) t(source_name)),
+  counts AS (SELECT {_SPLIT_NAME} AS source_name, {_SPLIT} AS split, count(*) AS rows
+             FROM lab WHERE lang = 'fr' GROUP BY 1, 2)
+SELECT n.source_name, c.split, CASE WHEN n.source_name = 'hindi_extra' THEN 'failed' ELSE 'loaded' END AS status,
+       CAST(coalesce(c.rows, 0) AS BIGINT) AS rows
+FROM names n LEFT JOIN counts c ON n.source_name = c.source_name"""
+
+ORACLE["clean_examples"] = f"""
+WITH {_LAB}
+SELECT doc_id AS ord, sha256(text) AS id, {_STR_LABEL} AS label_raw
+FROM lab WHERE lang = 'fr' AND {_STR_LABEL} IS NOT NULL"""
+
+ORACLE["lenient_label"] = f"""
+WITH {_LAB}
+SELECT doc_id AS ord, {_STR_LABEL} AS label_raw,
+       CAST(CASE doc_id % 5 WHEN 0 THEN 1 WHEN 1 THEN 0 WHEN 2 THEN 0 WHEN 3 THEN 1 END AS INTEGER) AS label
+FROM lab WHERE lang = 'fr' AND {_STR_LABEL} IS NOT NULL"""
+
+ORACLE["collapse_classes"] = f"""
+WITH {_LAB},
+  e AS (SELECT doc_id, CAST(CASE WHEN toxic = 0 THEN 2 ELSE doc_id % 2 END AS INTEGER) AS class FROM lab WHERE lang = 'en')
+SELECT doc_id AS ord, class, CAST(CASE WHEN class IN (0, 1) THEN 0 ELSE 1 END AS INTEGER) AS label FROM e"""
+
+ORACLE["invert_label"] = f"""
+WITH {_LAB}
+SELECT doc_id AS ord, CAST(toxic AS INTEGER) AS label_raw, CAST(CASE WHEN toxic = 0 THEN 1 ELSE 0 END AS INTEGER) AS label
+FROM lab WHERE lang IN ('es', 'de')"""
+
+ORACLE["concat_corpora"] = f"""
+WITH {_EXAMPLES}
+SELECT corpus, ord, sha256(text) AS id, label, split FROM hindi
+UNION ALL SELECT corpus, ord, sha256(text), label, CAST(NULL AS VARCHAR) FROM extra"""
+
+ORACLE["positional_split"] = f"""
+WITH {_EXAMPLES}
+SELECT corpus, ord, split FROM extra_split"""
+
+ORACLE["seeded_shuffle"] = f"""
+WITH {_EXAMPLES}
+SELECT corpus, ord, row_number() OVER (ORDER BY md5('42:' || CAST(ord AS VARCHAR)), ord) - 1 AS pos
+FROM examples WHERE split = 'train'"""
+
+ORACLE["ensure_validation"] = f"""
+WITH {_EXAMPLES},
+  ranked AS (SELECT corpus, ord, split,
+                    row_number() OVER (ORDER BY md5('42:' || CAST(ord AS VARCHAR)), ord) - 1 AS p,
+                    count(*) OVER () AS n
+             FROM extra_split WHERE split = 'train')
+SELECT corpus, ord, CASE WHEN p < ceil(CAST(0.1 AS DOUBLE) * n) THEN 'validation' ELSE 'train' END AS split FROM ranked
+UNION ALL SELECT corpus, ord, split FROM extra_split WHERE split <> 'train'"""
+
+ORACLE["head_n"] = f"""
+WITH {_EXAMPLES}
+SELECT corpus, ord, label FROM hindi ORDER BY ord LIMIT 10"""
+
+ORACLE["split_sizes"] = f"""
+WITH {_EXAMPLES}
+SELECT split, corpus, label, count(*) AS n FROM examples GROUP BY split, corpus, label"""
+
+ORACLE["isolation_check"] = f"""
+WITH {_EXAMPLES},
+  train_ids AS (SELECT DISTINCT sha256(text) AS id FROM examples WHERE split = 'train')
+SELECT corpus, count(*) AS n_test,
+       count(*) FILTER (WHERE sha256(text) IN (SELECT id FROM train_ids)) AS n_leaked
+FROM examples WHERE split = 'test' GROUP BY corpus"""
