@@ -341,3 +341,116 @@ def q_split_sizes(spark, sf_dir):
 def q_isolation_check(spark, sf_dir):
     ex = all_examples(spark, sf_dir)
     return corp.leakage(ex.where(F.col("split") == "train"), ex.where(F.col("split") == "test"))
+
+
+# ---------------------------------------------------------------------------
+# Metrics and scoring: O8, A5–A8, M1–M5, K7, P16
+# ---------------------------------------------------------------------------
+from ..functions.labels import argmax, id2label, label2id  # noqa: E402
+from ..functions.text import fix_length, whitespace_tokens  # noqa: E402
+from ..operators import metrics, scoring  # noqa: E402
+
+
+def predictions(spark, sf_dir):
+    d = fx.labelled_with_logits(spark, sf_dir)
+    return d.select("doc_id", "label", argmax("logits").alias("pred"),
+                    argmax("logits_b").alias("pred_b"))
+
+
+@register("argmax")
+def q_argmax(spark, sf_dir):
+    return predictions(spark, sf_dir).select("doc_id", "pred", "pred_b")
+
+
+@register("id2label")
+def q_id2label(spark, sf_dir):
+    p = predictions(spark, sf_dir)
+    return p.select("doc_id", "pred", id2label("pred").alias("pred_label"),
+                    label2id(id2label("pred")).alias("pred_back"))
+
+
+@register("confusion")
+def q_confusion(spark, sf_dir):
+    return metrics.confusion(predictions(spark, sf_dir))
+
+
+@register("accuracy")
+def q_accuracy(spark, sf_dir):
+    return metrics.accuracy(predictions(spark, sf_dir))
+
+
+@register("macro_f1")
+def q_macro_f1(spark, sf_dir):
+    return metrics.macro_f1(predictions(spark, sf_dir))
+
+
+@register("compare_models")
+def q_compare_models(spark, sf_dir):
+    return metrics.compare_models(predictions(spark, sf_dir), a="pred", b="pred_b")
+
+
+@register("fix_length")
+def q_fix_length(spark, sf_dir):
+    d = fx.documents(spark, sf_dir)
+    toks, mask = fix_length(whitespace_tokens("text"))
+    t = d.select("doc_id", toks.alias("tokens"), mask.alias("mask"))
+    return t.select("doc_id", F.size("tokens").alias("size"),
+                    F.aggregate("mask", F.lit(0), lambda a, x: a + x).alias("n_real"),
+                    F.get("tokens", 0).alias("first_token"), F.get("tokens", 127).alias("last_token"))
+
+
+@register("map_batches")
+def q_map_batches(spark, sf_dir):
+    def count_chars(pdf):
+        # Python len counts code points, like the reference's str handling.
+        return pdf.assign(n_chars_py=pdf["text"].map(len).astype("int64"))[["doc_id", "n_chars_py"]]
+    d = fx.documents(spark, sf_dir).select("doc_id", "text")
+    return scoring.map_batches(d, count_chars, "doc_id long, n_chars_py long")
+
+
+_MODEL_CACHE: dict = {}
+
+
+def fitted_model(spark, sf_dir):
+    """Fit once per (session, data dir): train on the train split, choose on
+    the Hindi validation split."""
+    key = (id(spark), sf_dir)
+    if key not in _MODEL_CACHE:
+        ex = all_examples(spark, sf_dir)
+        model, report = scoring.fit_scorer(ex.where(F.col("split") == "train"),
+                                           ex.where(F.col("split") == "validation"))
+        _MODEL_CACHE[key] = (model, report)
+    return _MODEL_CACHE[key]
+
+
+@register("fit_scorer")
+def q_fit_scorer(spark, sf_dir):
+    return fitted_model(spark, sf_dir)[1]
+
+
+@register("evaluate_scorer")
+def q_evaluate_scorer(spark, sf_dir):
+    model, _ = fitted_model(spark, sf_dir)
+    ex = all_examples(spark, sf_dir)
+    return scoring.evaluate(model, ex.where(F.col("split") == "test"))
+
+
+@register("score_messages")
+def q_score_messages(spark, sf_dir):
+    """Trim/length filter and dedup *before* the model, then decide."""
+    model, _ = fitted_model(spark, sf_dir)
+    firsts = deduped_document_messages(spark, sf_dir)
+    scored = with_decision(scoring.score(firsts, model))
+    return scored.select("scope", "id", "ord", "pred", "is_toxic", "max_score", "severity")
+
+
+@register("scorer_roundtrip")
+def q_scorer_roundtrip(spark, sf_dir):
+    model, _ = fitted_model(spark, sf_dir)
+    path = scratch_path(spark, "scorer")
+    scoring.save_scorer(model, path)
+    loaded = scoring.load_scorer(path)
+    d = fx.documents(spark, sf_dir).select("doc_id", "text")
+    a = scoring.score(d, model, keep=["doc_id"]).select("doc_id", F.col("pred").alias("pred_before"))
+    b = scoring.score(d, loaded, keep=["doc_id"]).select("doc_id", F.col("pred").alias("pred_after"))
+    return a.join(b, "doc_id").withColumn("same", F.col("pred_before") == F.col("pred_after"))

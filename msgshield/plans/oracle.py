@@ -268,3 +268,57 @@ WITH {_EXAMPLES},
 SELECT corpus, count(*) AS n_test,
        count(*) FILTER (WHERE sha256(text) IN (SELECT id FROM train_ids)) AS n_leaked
 FROM examples WHERE split = 'test' GROUP BY corpus"""
+
+# ---------------------------------------------------------------------------
+# Metrics
+# ---------------------------------------------------------------------------
+_PRED = f"""
+  {_LAB},
+  pr AS (SELECT doc_id, CAST(1 - toxic AS INTEGER) AS label,
+                CAST(CASE WHEN {score('doc_id')} >= 1 - {score('doc_id')} THEN 0 ELSE 1 END AS INTEGER) AS pred,
+                CAST(CASE WHEN {score('doc_id')} - 0.05 >= 1 - {score('doc_id')} THEN 0 ELSE 1 END AS INTEGER) AS pred_b
+         FROM lab)"""
+
+
+def _f1_sql(pred: str) -> str:
+    return f"""(SELECT sum(f1) / count(*) FROM (
+        SELECT c, CASE WHEN 2 * tp + fp + fn = 0 THEN 0.0 ELSE 2.0 * tp / (2 * tp + fp + fn) END AS f1
+        FROM (SELECT c,
+                     count(*) FILTER (WHERE label = c AND {pred} = c) AS tp,
+                     count(*) FILTER (WHERE label <> c AND {pred} = c) AS fp,
+                     count(*) FILTER (WHERE label = c AND {pred} <> c) AS fn
+              FROM pr, (SELECT DISTINCT label AS c FROM pr UNION SELECT DISTINCT {pred} FROM pr) cls
+              GROUP BY c)))"""
+
+
+ORACLE["argmax"] = f"WITH {_PRED} SELECT doc_id, pred, pred_b FROM pr"
+
+ORACLE["id2label"] = f"""WITH {_PRED}
+SELECT doc_id, pred, CASE pred WHEN 0 THEN 'abusive' WHEN 1 THEN 'non-abusive' END AS pred_label,
+       pred AS pred_back FROM pr"""
+
+ORACLE["confusion"] = f"""WITH {_PRED},
+  grid AS (SELECT * FROM (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) t(label, pred))
+SELECT CAST(g.label AS INTEGER) AS label, CAST(g.pred AS INTEGER) AS pred, count(pr.doc_id) AS n
+FROM grid g LEFT JOIN pr ON pr.label = g.label AND pr.pred = g.pred GROUP BY g.label, g.pred"""
+
+ORACLE["accuracy"] = f"""WITH {_PRED}
+SELECT count(*) AS n, avg(CASE WHEN label = pred THEN 1.0 ELSE 0.0 END) AS accuracy FROM pr"""
+
+ORACLE["macro_f1"] = f"WITH {_PRED} SELECT {_f1_sql('pred')} AS macro_f1"
+
+ORACLE["compare_models"] = f"""WITH {_PRED},
+  a AS (SELECT avg(CASE WHEN label = pred THEN 1.0 ELSE 0.0 END) AS acc_a,
+               avg(CASE WHEN label = pred_b THEN 1.0 ELSE 0.0 END) AS acc_b FROM pr)
+SELECT acc_a AS accuracy_a, {_f1_sql('pred')} AS macro_f1_a, acc_b AS accuracy_b,
+       {_f1_sql('pred_b')} AS macro_f1_b, acc_b - acc_a AS accuracy_delta FROM a"""
+
+ORACLE["fix_length"] = f"""
+WITH t AS (SELECT doc_id, lower({js_trim('text')}) AS t FROM documents),
+  k AS (SELECT doc_id, CASE WHEN t = '' THEN [] ELSE string_split_regex(t, '[ \\t\\n\\r]+') END AS toks FROM t)
+SELECT doc_id, 128 AS size, CAST(least(len(toks), 128) AS INTEGER) AS n_real,
+       CASE WHEN len(toks) >= 1 THEN toks[1] ELSE '[PAD]' END AS first_token,
+       CASE WHEN len(toks) >= 128 THEN toks[128] ELSE '[PAD]' END AS last_token
+FROM k"""
+
+ORACLE["map_batches"] = "SELECT doc_id, length(text) AS n_chars_py FROM documents"
