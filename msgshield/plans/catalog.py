@@ -454,3 +454,106 @@ def q_scorer_roundtrip(spark, sf_dir):
     a = scoring.score(d, model, keep=["doc_id"]).select("doc_id", F.col("pred").alias("pred_before"))
     b = scoring.score(d, loaded, keep=["doc_id"]).select("doc_id", F.col("pred").alias("pred_after"))
     return a.join(b, "doc_id").withColumn("same", F.col("pred_before") == F.col("pred_after"))
+
+
+# ---------------------------------------------------------------------------
+# Reports, codecs, exports, store: P13, O6, K1–K6, P14, P15, J6, S8
+# ---------------------------------------------------------------------------
+import os as _os  # noqa: E402
+
+from ..functions import codec  # noqa: E402
+from ..operators import report as rep  # noqa: E402
+from ..sinks import export as sink  # noqa: E402
+from ..sources.evidence import read_evidence  # noqa: E402
+
+
+@register("format_report")
+def q_format_report(spark, sf_dir):
+    f = rep.format_report(fx.evidence(spark, sf_dir))
+    return f.select("seq", "banner_label", "banner_categories", "severity_badge", "score_pct",
+                    "score_text", "time_display", "source_display")
+
+
+@register("number_incidents")
+def q_number_incidents(spark, sf_dir):
+    return rep.number_incidents(fx.evidence(spark, sf_dir)).select("seq", "incident_no")
+
+
+@register("report_details")
+def q_report_details(spark, sf_dir):
+    d = rep.report_details(fx.evidence(spark, sf_dir))
+    return d.select("incident_no", "evidence_id", "time_display", "source_display", "score_pct",
+                    "score_text", "categories_display", "severity_badge", "text_display")
+
+
+@register("report_summary")
+def q_report_summary(spark, sf_dir):
+    return rep.report_summary(fx.evidence(spark, sf_dir)).select("severity", "level", "n", "line")
+
+
+@register("report_id")
+def q_report_id(spark, sf_dir):
+    return rep.report_header(fx.evidence(spark, sf_dir), fx.NOW)
+
+
+@register("decode_attachment")
+def q_decode_attachment(spark, sf_dir):
+    a = fx.attachments(spark, sf_dir).withColumn("_d", codec.decode_attachment("screenshot"))
+    return a.select("ord", F.col("_d.mime").alias("mime"), F.col("_d.n_bytes").alias("n_bytes"),
+                    F.decode(F.col("_d.bytes"), "UTF-8").alias("decoded"))
+
+
+@register("encrypt_roundtrip")
+def q_encrypt_roundtrip(spark, sf_dir):
+    key = codec.aes_key(spark, spark.conf.get("msgshield.evidence.key", None) or _os.urandom(32))
+    ev = fx.evidence(spark, sf_dir)
+    enc = codec.encrypt_columns(ev, ["text", "source"], key).withColumn("encrypted", F.lit(True))
+    dec = codec.decrypt_columns(enc.withColumn("_cipher", F.col("text")), ["text", "source"], key)
+    return dec.join(ev.select("seq", F.col("text").alias("_plain")), "seq").select(
+        "seq", "id", "text", "source", "encrypted",
+        (F.col("_cipher") != F.col("_plain")).alias("cipher_differs"))
+
+
+@register("export_json")
+def q_export_json(spark, sf_dir):
+    out = sink.export_json(fx.evidence(spark, sf_dir), scratch_path(spark, "export"), fx.NOW)
+    back = spark.read.schema("id string, severity string, maxScore double, timestamp string, "
+                             "timestampMs long").json(f"{out}/evidence")
+    return back.select("id", "severity", F.col("maxScore").alias("max_score"), "timestamp",
+                       F.col("timestampMs").alias("timestamp_ms"))
+
+
+@register("export_csv")
+def q_export_csv(spark, sf_dir):
+    path = scratch_path(spark, "csv_export")
+    sink.export_csv(fx.evidence(spark, sf_dir), path)
+    return (spark.read.option("header", "true").option("multiLine", "true").option("escape", '"')
+            .option("ignoreLeadingWhiteSpace", "false").option("ignoreTrailingWhiteSpace", "false")
+            .csv(path))
+
+
+def _stored(spark, sf_dir):
+    path = scratch_path(spark, "store")
+    ev = fx.evidence(spark, sf_dir)
+    sink.append_evidence(ev.where(F.col("seq") % 2 == 0), path)
+    sink.append_evidence(ev.where(F.col("seq") % 2 == 1), path)
+    return path
+
+
+@register("append_evidence")
+def q_append_evidence(spark, sf_dir):
+    return read_evidence(spark, _stored(spark, sf_dir)).select("id", "seq", "severity")
+
+
+@register("evidence_scan")
+def q_evidence_scan(spark, sf_dir):
+    present = read_evidence(spark, _stored(spark, sf_dir))
+    missing = read_evidence(spark, scratch_path(spark, "no_store"))
+    return present.unionByName(missing).select("id", "seq", "severity")
+
+
+@register("clear_store")
+def q_clear_store(spark, sf_dir):
+    path = _stored(spark, sf_dir)
+    sink.clear_store(spark, path)
+    return read_evidence(spark, path).select("id", "seq", "severity")

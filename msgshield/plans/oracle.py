@@ -322,3 +322,81 @@ SELECT doc_id, 128 AS size, CAST(least(len(toks), 128) AS INTEGER) AS n_real,
 FROM k"""
 
 ORACLE["map_batches"] = "SELECT doc_id, length(text) AS n_chars_py FROM documents"
+
+# ---------------------------------------------------------------------------
+# Reports, codecs, exports, store
+# ---------------------------------------------------------------------------
+
+
+def _base36(n: int) -> str:
+    digits = "0123456789abcdefghijklmnopqrstuvwxyz"
+    out = ""
+    while n:
+        n, r = divmod(n, 36)
+        out = digits[r] + out
+    return out or "0"
+
+
+_LOCAL = "strftime(epoch_ms({x}) + INTERVAL 330 MINUTE, '%-d %b %Y, %-I:%M:%S %p')"
+_PCT1 = "floor(max_score * 1000.0 + 0.5) / 10.0"
+_CATS = f"'ABUSIVE (HINGLISH MACD) (' || CAST(CAST(floor(max_score * 100.0 + 0.5) AS BIGINT) AS VARCHAR) || '%)'"
+
+ORACLE["format_report"] = f"""
+WITH {EVIDENCE}
+SELECT seq, CASE severity WHEN 'HIGH' THEN 'CRITICAL THREAT' WHEN 'LOW' THEN 'POTENTIALLY TOXIC'
+                          ELSE 'HARMFUL CONTENT' END AS banner_label,
+       {_CATS} AS banner_categories, severity AS severity_badge, {_PCT1} AS score_pct,
+       printf('%.1f%%', {_PCT1}) AS score_text, {_LOCAL.format(x='ts_ms')} AS time_display,
+       source AS source_display
+FROM ev"""
+
+ORACLE["number_incidents"] = f"""
+WITH {EVIDENCE}
+SELECT seq, row_number() OVER (ORDER BY revision, seq) AS incident_no FROM ev"""
+
+ORACLE["report_details"] = f"""
+WITH {EVIDENCE}
+SELECT row_number() OVER (ORDER BY revision, seq) AS incident_no, id AS evidence_id,
+       {_LOCAL.format(x='ts_ms')} AS time_display, source AS source_display, {_PCT1} AS score_pct,
+       printf('%.1f%%', {_PCT1}) AS score_text, {_CATS} AS categories_display,
+       severity AS severity_badge, text AS text_display
+FROM ev"""
+
+ORACLE["report_summary"] = f"""
+WITH {EVIDENCE},
+  c AS (SELECT severity, count(*) AS n FROM ev GROUP BY severity)
+SELECT severity, CAST(CASE severity WHEN 'HIGH' THEN 0 WHEN 'MEDIUM' THEN 1 WHEN 'LOW' THEN 2 ELSE 3 END AS INTEGER) AS level,
+       n, severity || ' Severity: ' || CAST(n AS VARCHAR) || ' incident(s)' AS line
+FROM c WHERE n > 0"""
+
+ORACLE["report_id"] = f"""
+WITH {EVIDENCE}, t AS (SELECT count(*) AS total FROM ev)
+SELECT '{S.REPORT_TITLE}' AS title, {_LOCAL.format(x=str(NOW_MS))} AS generated_at, total,
+       upper('SR-{_base36(NOW_MS)}-' || substr(md5('report:' || CAST(total AS VARCHAR)), 1, 5)) AS report_id
+FROM t"""
+
+ORACLE["decode_attachment"] = """
+SELECT doc_id AS ord, 'image/png' AS mime, CAST(octet_length(encode(substr(text, 1, 20))) AS INTEGER) AS n_bytes,
+       substr(text, 1, 20) AS decoded
+FROM documents WHERE doc_id % 10 = 0"""
+
+ORACLE["encrypt_roundtrip"] = f"""
+WITH {EVIDENCE}
+SELECT seq, id, text, source, true AS encrypted, true AS cipher_differs FROM ev"""
+
+ORACLE["export_json"] = f"""
+WITH {EVIDENCE}
+SELECT id, severity, max_score, strftime(epoch_ms(ts_ms), '%Y-%m-%dT%H:%M:%S.%gZ') AS timestamp,
+       ts_ms AS timestamp_ms
+FROM ev"""
+
+ORACLE["export_csv"] = f"""
+WITH {EVIDENCE}
+SELECT id AS "ID", strftime(epoch_ms(ts_ms), '%Y-%m-%dT%H:%M:%S.%gZ') AS "Timestamp", severity AS "Severity",
+       CAST(max_score AS VARCHAR) AS "Max Score", '{S.CATEGORY_NAME}' AS "Categories", source AS "Source",
+       text AS "Text"
+FROM ev"""
+
+ORACLE["append_evidence"] = f"WITH {EVIDENCE} SELECT id, seq, severity FROM ev"
+ORACLE["evidence_scan"] = f"WITH {EVIDENCE} SELECT id, seq, severity FROM ev"
+ORACLE["clear_store"] = f"WITH {EVIDENCE} SELECT id, seq, severity FROM ev WHERE false"
