@@ -557,3 +557,86 @@ def q_clear_store(spark, sf_dir):
     path = _stored(spark, sf_dir)
     sink.clear_store(spark, path)
     return read_evidence(spark, path).select("id", "seq", "severity")
+
+
+# ---------------------------------------------------------------------------
+# Streaming: S7, T1–T5 (availableNow runs, compared with the batch oracle)
+# ---------------------------------------------------------------------------
+from ..streaming import stream as st  # noqa: E402
+
+
+def _land_files(df, path, n_files=4):
+    """Drop messages into a stream input folder as several Parquet files."""
+    df.select("scope", "source", "text", "ord").repartition(n_files).write.mode("append").parquet(path)
+
+
+def fixture_scorer(df):
+    """Deterministic scorer with failures: status error where ord % 11 = 0."""
+    failed = F.col("ord") % 11 == 0
+    return fx.with_fixture_scores(df, key="ord").withColumns({
+        "status": F.when(failed, F.lit("error")).otherwise(F.lit("ok")),
+        "error": F.when(failed, F.lit("scorer unavailable"))})
+
+
+@register("stream_source")
+def q_stream_source(spark, sf_dir):
+    inp, out, ck = (scratch_path(spark, n) for n in ("in", "out", "ck"))
+    _land_files(fx.conversation_messages(spark, sf_dir), inp)
+    s = st.read_message_stream(spark, inp)
+    st.run_to_completion(s.writeStream.format("parquet").option("path", out)
+                         .option("checkpointLocation", ck).outputMode("append"))
+    return spark.read.parquet(out).select("scope", "source", "ord", "text")
+
+
+@register("stream_dedup")
+def q_stream_dedup(spark, sf_dir):
+    inp, out, ck = (scratch_path(spark, n) for n in ("in", "out", "ck"))
+    _land_files(fx.document_messages(spark, sf_dir), inp)
+    s = st.stream_dedup(filter_messages_stream(st.read_message_stream(spark, inp)))
+    st.run_to_completion(s.writeStream.format("parquet").option("path", out)
+                         .option("checkpointLocation", ck).outputMode("append"))
+    return spark.read.parquet(out).select("scope", "id")
+
+
+def filter_messages_stream(df):
+    return detect.filter_messages(df)
+
+
+@register("stream_retry")
+def q_stream_retry(spark, sf_dir):
+    inp, attempts, ck = (scratch_path(spark, n) for n in ("in", "attempts", "ck"))
+    msgs = fx.document_messages(spark, sf_dir)
+    handler = st.score_with_retry(attempts, fixture_scorer)
+    for parity in (0, 1):        # two arrivals: even ords, then odd ords
+        _land_files(msgs.where(F.col("ord") % 2 == parity), inp)
+        s = st.read_message_stream(spark, inp)
+        st.run_to_completion(s.writeStream.foreachBatch(handler).option("checkpointLocation", ck))
+    return st.read_batches(spark, attempts, st.ATTEMPT).select("scope", "id", "ord", "status")
+
+
+def _incident_stream(spark, inp):
+    s = detect.filter_messages(st.read_message_stream(spark, inp))
+    decided = with_decision(fx.with_fixture_scores(s, key="ord"))
+    return ev_ops.build_evidence(decided, fx.NOW, seq="ord")
+
+
+@register("stream_incidents")
+def q_stream_incidents(spark, sf_dir):
+    inp, logs, evid, ck = (scratch_path(spark, n) for n in ("in", "logs", "evidence", "ck"))
+    _land_files(fx.document_messages(spark, sf_dir), inp)
+    inc = _incident_stream(spark, inp)
+    st.run_to_completion(inc.writeStream.foreachBatch(st.dual_write(logs, evid))
+                         .option("checkpointLocation", ck))
+    a = spark.read.parquet(logs).select(F.lit("incident_logs").alias("table"), "id", "seq", "severity")
+    b = spark.read.parquet(evid).select(F.lit("evidence").alias("table"), "id", "seq", "severity")
+    return a.unionByName(b)
+
+
+@register("stream_stats")
+def q_stream_stats(spark, sf_dir):
+    inp, out, ck = (scratch_path(spark, n) for n in ("in", "out", "ck"))
+    _land_files(fx.document_messages(spark, sf_dir), inp)
+    counts = st.stream_stats(_incident_stream(spark, inp))
+    st.run_to_completion(counts.writeStream.outputMode("complete")
+                         .foreachBatch(st.overwrite_sink(out)).option("checkpointLocation", ck))
+    return spark.read.parquet(out).select("severity", "n")

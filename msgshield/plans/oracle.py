@@ -400,3 +400,30 @@ FROM ev"""
 ORACLE["append_evidence"] = f"WITH {EVIDENCE} SELECT id, seq, severity FROM ev"
 ORACLE["evidence_scan"] = f"WITH {EVIDENCE} SELECT id, seq, severity FROM ev"
 ORACLE["clear_store"] = f"WITH {EVIDENCE} SELECT id, seq, severity FROM ev WHERE false"
+
+# ---------------------------------------------------------------------------
+# Streaming (batch twins)
+# ---------------------------------------------------------------------------
+ORACLE["stream_source"] = """
+SELECT CAST(conv_id AS VARCHAR) AS scope, role AS source, turn AS ord, text FROM conversations"""
+
+ORACLE["stream_dedup"] = f"WITH {DOC_MESSAGES} SELECT DISTINCT scope, sha256(text) AS id FROM doc_kept"
+
+ORACLE["stream_retry"] = f"""
+WITH {DOC_MESSAGES},
+  p1 AS (SELECT scope, sha256(text) AS id, min(ord) AS ord FROM doc_kept WHERE ord % 2 = 0 GROUP BY 1, 2),
+  p2 AS (SELECT scope, sha256(text) AS id, min(ord) AS ord FROM doc_kept WHERE ord % 2 = 1 GROUP BY 1, 2),
+  a1 AS (SELECT *, CASE WHEN ord % 11 = 0 THEN 'error' ELSE 'ok' END AS status FROM p1),
+  a2 AS (SELECT *, CASE WHEN ord % 11 = 0 THEN 'error' ELSE 'ok' END AS status FROM p2
+         WHERE NOT EXISTS (SELECT 1 FROM a1 WHERE a1.scope = p2.scope AND a1.id = p2.id AND a1.status = 'ok'))
+SELECT * FROM a1 UNION ALL SELECT * FROM a2"""
+
+_STREAM_EV = f"""{DOC_MESSAGES},
+  sev AS (SELECT sha256(text) AS id, ord AS seq, {severity('ord')} AS severity FROM doc_kept WHERE {flagged('ord')})"""
+
+ORACLE["stream_incidents"] = f"""
+WITH {_STREAM_EV}
+SELECT 'incident_logs' AS "table", id, seq, severity FROM sev
+UNION ALL SELECT 'evidence', id, seq, severity FROM sev"""
+
+ORACLE["stream_stats"] = f"WITH {_STREAM_EV} SELECT severity, count(*) AS n FROM sev GROUP BY severity"
