@@ -640,3 +640,18 @@ def q_stream_stats(spark, sf_dir):
     st.run_to_completion(counts.writeStream.outputMode("complete")
                          .foreachBatch(st.overwrite_sink(out)).option("checkpointLocation", ck))
     return spark.read.parquet(out).select("severity", "n")
+
+
+# ---------------------------------------------------------------------------
+# Extraction: S6 (rows-only: no HTML parser in the oracle engine)
+# ---------------------------------------------------------------------------
+from ..session import read_table as _read_table  # noqa: E402
+from ..sources import html as html_src  # noqa: E402
+
+FIXTURE_RULES = html_src.REFERENCE_RULES + ("article p",)
+
+
+@register("extract_messages")
+def q_extract_messages(spark, sf_dir):
+    pages = _read_table(spark, sf_dir, "pages")
+    return html_src.extract_messages(pages, FIXTURE_RULES)
