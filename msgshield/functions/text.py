@@ -64,17 +64,27 @@ def fix_length(tokens, n: int = S.TOKEN_LENGTH, pad: str = S.PAD_TOKEN):
     """Truncate / pad a token array to exactly ``n`` and build the attention mask.
 
     Returns ``(tokens_n, mask_n)`` column expressions: the first ``n`` tokens,
-    right-padded with ``pad``; mask 1 for real tokens, 0 for padding.
+    right-padded with ``pad``; mask 1 for real tokens, 0 for padding. No
+    lambda refers back to the input, so the token array is evaluated once per
+    row (pass a column, not a tokenising expression, to share it).
     """
     t = _c(tokens)
     head = F.slice(t, 1, n)
-    n_real = F.size(head)
-    padded = F.concat(head, F.array_repeat(F.lit(pad), F.greatest(F.lit(0), F.lit(n) - n_real)))
-    mask = F.transform(F.sequence(F.lit(1), F.lit(n)),
-                       lambda i: F.when(i <= n_real, F.lit(1)).otherwise(F.lit(0)))
+    n_real = F.least(F.size(t), F.lit(n))
+    n_pad = F.lit(n) - n_real
+    padded = F.concat(head, F.array_repeat(F.lit(pad), n_pad))
+    mask = F.concat(F.array_repeat(F.lit(1), n_real), F.array_repeat(F.lit(0), n_pad))
     return padded, mask
 
 
+def with_fixed_tokens(df, text: str = "text", n: int = S.TOKEN_LENGTH, pad: str = S.PAD_TOKEN,
+                      tokens: str = "tokens", mask: str = "attention_mask"):
+    """Tokenise once into a column, then truncate / pad it (P16 on a frame)."""
+    df = df.withColumn("_all_tokens", whitespace_tokens(text))
+    padded, m = fix_length("_all_tokens", n, pad)
+    return df.withColumns({tokens: padded, mask: m}).drop("_all_tokens")
+
+
 def whitespace_tokens(col) -> Column:
     """Lower-case whitespace tokenisation of JS-trimmed text (empty text → [])."""
     t = F.lower(trim_js(col))

@@ -347,7 +347,7 @@ def q_isolation_check(spark, sf_dir):
 # Metrics and scoring: O8, A5–A8, M1–M5, K7, P16
 # ---------------------------------------------------------------------------
 from ..functions.labels import argmax, id2label, label2id  # noqa: E402
-from ..functions.text import fix_length, whitespace_tokens  # noqa: E402
+from ..functions.text import with_fixed_tokens  # noqa: E402
 from ..operators import metrics, scoring  # noqa: E402
 
 
@@ -391,9 +391,7 @@ def q_compare_models(spark, sf_dir):
 
 @register("fix_length")
 def q_fix_length(spark, sf_dir):
-    d = fx.documents(spark, sf_dir)
-    toks, mask = fix_length(whitespace_tokens("text"))
-    t = d.select("doc_id", toks.alias("tokens"), mask.alias("mask"))
+    t = with_fixed_tokens(fx.documents(spark, sf_dir).select("doc_id", "text"), mask="mask")
     return t.select("doc_id", F.size("tokens").alias("size"),
                     F.aggregate("mask", F.lit(0), lambda a, x: a + x).alias("n_real"),
                     F.get("tokens", 0).alias("first_token"), F.get("tokens", 127).alias("last_token"))

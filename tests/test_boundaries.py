@@ -1,0 +1,92 @@
+"""Boundary cases of the decision, message filter, defaults and codecs."""
+
+import math
+
+from pyspark.sql import functions as F
+
+from msgshield import schemas as S
+from msgshield.functions.decision import abusive_sum, decide
+from msgshield.functions.labels import argmax, collapse_classes, invert_label, lenient_label
+from msgshield.functions.text import trim_js, utf16_at_least, utf16_len
+from msgshield.operators.detect import filter_messages
+from msgshield.operators.evidence import build_evidence
+from msgshield.operators.stats import severity_counts, store_stats
+
+
+def _decide(spark, pairs):
+    df = spark.createDataFrame([(pairs,)], f"scores {S.SCORES.simpleString()}")
+    return df.select(decide("scores").alias("d"), abusive_sum("scores").alias("s")).first()
+
+
+def test_threshold_inclusive_and_high_strict(spark):
+    assert _decide(spark, [("abusive", 0.65)]).d.is_toxic
+    assert not _decide(spark, [("abusive", 0.6499)]).d.is_toxic
+    assert _decide(spark, [("abusive", 0.85)]).d.severity == "MEDIUM"
+    assert _decide(spark, [("abusive", 0.8501)]).d.severity == "HIGH"
+
+
+def test_labels_never_substring_and_label_ids_never_flag(spark):
+    for lab in ("non-abusive", "label_0", "label_1", "abusive!"):
+        r = _decide(spark, [(lab, 0.99)]).d
+        assert not r.is_toxic and r.severity is None and r.max_score == 0.0 and r.categories == []
+    r = _decide(spark, [(" ABUSIVE ", 0.9)]).d
+    assert r.is_toxic and r.severity == "HIGH" and len(r.categories) == 1
+    assert r.categories[0].category == S.CATEGORY_NAME
+
+
+def test_max_over_flagging_scores_and_nan(spark):
+    r = _decide(spark, [("abusive", 0.7), ("abusive", 0.9), ("abusive", float("nan"))])
+    assert r.d.max_score == 0.9 and r.d.severity == "HIGH"
+    assert math.isnan(r.s)
+    assert not _decide(spark, [("abusive", float("nan"))]).d.is_toxic
+    assert _decide(spark, [("abusive", None), ("abusive", 0.2)]).s == 0.2
+
+
+def test_message_filter_units_and_js_whitespace(spark):
+    rows = [("abcd",), ("abcde",), ("ab\U0001F600x",), ("\t﻿ abcd 　",), (None,), ("",),
+            (" hello ",)]
+    df = spark.createDataFrame(rows, "text string")
+    kept = [r.text for r in filter_messages(df).collect()]
+    assert sorted(kept) == sorted(["abcde", "ab\U0001F600x", "hello"])
+    r = spark.createDataFrame([("a\U0001F600b",)], "t string").select(
+        utf16_len("t").alias("u"), F.length("t").alias("cp"), utf16_at_least("t", 4).alias("ok"),
+        trim_js(F.lit("\t x ﻿")).alias("tr")).first()
+    assert (r.u, r.cp, r.ok, r.tr) == (4, 3, True, "x")
+
+
+def test_lenient_label(spark):
+    vals = ["1", "0", "x", "1.9", "-1.9", "1d", "inf", " 2 ", "1e3", None, "nan", "99999999999"]
+    df = spark.createDataFrame([(v,) for v in vals], "v string")
+    got = [r.l for r in df.select(lenient_label("v").alias("l")).collect()]
+    assert got == [1, 0, 0, 1, -1, 0, 0, 2, 1000, 0, 0, 0]
+
+
+def test_class_collapse_inversion_argmax(spark):
+    df = spark.createDataFrame([(0,), (1,), (2,), (None,)], "c int")
+    r = df.select(collapse_classes("c").alias("a"), invert_label("c").alias("b")).collect()
+    assert [x.a for x in r] == [0, 0, 1, 1] and [x.b for x in r] == [1, 0, 0, 0]
+    a = spark.createDataFrame([([0.5, 0.5],), ([0.1, 0.9],), ([float("nan"), 0.9],)], "l array<double>")
+    assert [x.p for x in a.select(argmax("l").alias("p")).collect()] == [0, 1, 0]
+
+
+def test_evidence_defaults_js_falsy(spark):
+    schema = ("text string, source string, severity string, max_score double, is_toxic boolean, "
+              "seq long")
+    df = spark.createDataFrame([("t1", "s", None, float("nan"), True, 1),
+                                ("t2", None, "", 0.0, True, 2)], schema)
+    ev = build_evidence(df, "2024-06-01T00:00:00Z").orderBy("seq").collect()
+    assert [e.severity for e in ev] == ["UNKNOWN", "UNKNOWN"]
+    assert [e.max_score for e in ev] == [0.0, 0.0] and [e.score for e in ev] == [0.0, 0.0]
+    assert [e.label for e in ev] == ["unknown", "unknown"]
+    assert ev[0].categories == [] and ev[0].all_scores == [] and ev[0].screenshot is None
+    assert ev[0].chain_of_custody[0].action == "CREATED"
+    assert ev[0].timestamp_ms == 1717200000000
+
+
+def test_empty_store_stats_and_counts(spark):
+    empty = spark.createDataFrame([], S.EVIDENCE)
+    st = store_stats(empty).first()
+    assert (st.total, st.size, st.high, st.oldest, st.newest) == (0, 2, 0, None, None)
+    sc = severity_counts(spark.createDataFrame([("HIGH",), (None,), ("",), ("weird",)],
+                                               "severity string")).first()
+    assert (sc.high, sc.medium, sc.low, sc.unknown, sc.total) == (1, 0, 0, 3, 4)
