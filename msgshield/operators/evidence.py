@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, functions as F
 from .. import schemas as S
 from ..functions.text import evidence_id
 from ..functions.timeutil import ts_lit, to_millis
+from .firsts import first_by, last_by
 from .index import global_index
 
 
@@ -101,10 +102,7 @@ def lookup(evidence: DataFrame, ids: DataFrame, id_col: str = "id") -> DataFrame
     """
     want = ids.select(F.col(id_col).alias("id")).distinct()
     hits = evidence.join(want, "id", "left_semi")
-    others = [c for c in evidence.columns if c != "id"]
-    first = (hits.groupBy("id")
-                 .agg(F.min_by(F.struct(*others), store_order(hits)).alias("_r"))
-                 .select("id", *[F.col(f"_r.{c}").alias(c) for c in others]))
+    first = first_by(hits, ["id"], store_order(hits))
     return (want.join(first, "id", "left")
                 .withColumn("found", F.col("seq").isNotNull()))
 
@@ -136,10 +134,7 @@ def merge_attachments(logs: DataFrame, attachments: DataFrame, now, text: str =
         "revision", (F.col("_j") + 1).cast("int")).drop("_j")
     per_id = att.groupBy("id").agg(F.count(F.lit(1)).alias("n_att"),
                                    F.max_by("att_screenshot", "att_ord").alias("last_shot"))
-    others = [c for c in logs.columns if c != "id"]
-    first_log = (logs.where(F.col("id").isNotNull()).groupBy("id")
-                     .agg(F.min_by(F.struct(*others), F.col("seq")).alias("_r"))
-                     .select("id", *[F.col(f"_r.{c}").alias(c) for c in others]))
+    first_log = first_by(logs.where(F.col("id").isNotNull()), ["id"], F.col("seq"))
     event = custody_event(S.SCREENSHOT_ACTION, ts_lit(now))
 
     def add_events(n):
@@ -171,10 +166,7 @@ def merge_attachments(logs: DataFrame, attachments: DataFrame, now, text: str =
 
 def current_evidence(evidence: DataFrame) -> DataFrame:
     """Newest version per id (insertion order: revision, then seq)."""
-    others = [c for c in evidence.columns if c != "id"]
-    return (evidence.groupBy("id")
-                    .agg(F.max_by(F.struct(*others), store_order(evidence)).alias("_r"))
-                    .select("id", *[F.col(f"_r.{c}").alias(c) for c in others]))
+    return last_by(evidence, ["id"], store_order(evidence))
 
 
 def newest_first(df: DataFrame, index_col: str = "pos") -> DataFrame:
