@@ -85,8 +85,24 @@ def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str):
-    return spark.read.parquet(table_path(sf_dir, name))
+def spread_scan(df):
+    """Spread a scan that yields fewer partitions than the cluster has cores.
+
+    A big table already scans in thousands of splits and is returned as is
+    (no extra shuffle). A small file with one row group scans in one task,
+    which would run all per-row text work (trim, SHA-256, parsing) on one
+    core; a round-robin repartition to the default parallelism fixes that.
+    Counting partitions plans the scan only; it runs no job.
+    """
+    target = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df
+
+
+def read_table(spark: SparkSession, sf_dir: str, name: str, spread: bool = True):
+    df = spark.read.parquet(table_path(sf_dir, name))
+    return spread_scan(df) if spread else df
 
 
 __all__ = ["build_session", "ensure_checkpoint_dir", "scratch_path", "read_table", "table_path",
