@@ -33,6 +33,8 @@ def test_entry(spark):
 @pytest.mark.parametrize("key", sorted(QUERIES))
 def test_query_against_oracle(spark, con, key):
     df = QUERIES[key](spark, SF_SMALL)
+    p = df._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p
     rows = df.collect()
     if key not in ORACLE:
         assert len(rows) >= 0
