@@ -33,6 +33,10 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
         # One Arrow batch per 10k rows keeps Python-side memory bounded for
         # long documents while amortising the JVM<->Python hop.
         "spark.sql.execution.arrow.maxRecordsPerBatch": "10000",
+        # Streaming dedup state is exact and unbounded by design; RocksDB keeps
+        # it off the JVM heap and checkpoints it incrementally.
+        "spark.sql.streaming.stateStore.providerClass":
+            "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     }
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
