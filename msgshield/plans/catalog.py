@@ -412,7 +412,7 @@ _MODEL_CACHE: dict = {}
 def fitted_model(spark, sf_dir):
     """Fit once per (session, data dir): train on the train split, choose on
     the Hindi validation split."""
-    key = (id(spark), sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _MODEL_CACHE:
         ex = all_examples(spark, sf_dir)
         model, report = scoring.fit_scorer(ex.where(F.col("split") == "train"),

@@ -33,6 +33,9 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
         # One Arrow batch per 10k rows keeps Python-side memory bounded for
         # long documents while amortising the JVM<->Python hop.
         "spark.sql.execution.arrow.maxRecordsPerBatch": "10000",
+        # ...and never more than 64 MiB per batch: raw HTML pages and long
+        # documents would otherwise make 10k-row batches gigabytes large.
+        "spark.sql.execution.arrow.maxBytesPerBatch": str(64 * 1024 * 1024),
         # Streaming dedup state is exact and unbounded by design; RocksDB keeps
         # it off the JVM heap and checkpoints it incrementally.
         "spark.sql.streaming.stateStore.providerClass":
