@@ -79,3 +79,20 @@ def test_display_fallbacks(spark):
 def test_report_id_format(spark):
     r = spark.range(1).select(report_id(1704067200000, F.lit("x")).alias("r")).first().r
     assert r.startswith("SR-LQU5M2O0-") and len(r) == len("SR-LQU5M2O0-") + 5 and r == r.upper()
+
+
+def test_stream_dedup_with_ttl_watermark(spark, tmp_dir):
+    from pyspark.sql import types as T
+    schema = T.StructType(st.MESSAGE_IN.fields + [T.StructField("event_ts", T.TimestampType())])
+    inp = os.path.join(tmp_dir, "in")
+    rows = [("s", "a", "same message", 1, "2024-01-01 00:00:00"),
+            ("s", "a", "same message", 2, "2024-01-01 00:10:00"),
+            ("s", "a", "other message", 3, "2024-01-01 00:20:00")]
+    (spark.createDataFrame(rows, "scope string, source string, text string, ord long, ts string")
+          .withColumn("event_ts", F.to_timestamp("ts")).drop("ts").write.parquet(inp))
+    out, ck = os.path.join(tmp_dir, "out"), os.path.join(tmp_dir, "ck")
+    s = st.stream_dedup(st.read_message_stream(spark, inp, schema=schema), ttl="1 hour")
+    st.run_to_completion(s.writeStream.format("parquet").option("path", out)
+                         .option("checkpointLocation", ck).outputMode("append"))
+    got = sorted(r.text for r in spark.read.parquet(out).collect())
+    assert got == ["other message", "same message"]
