@@ -64,8 +64,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     cluster without the setting this raises instead of guessing a
     machine-local path.
     """
-    sc = spark.sparkContext
-    current = sc._jsc.sc().getCheckpointDir()
+    try:
+        sc = spark.sparkContext
+        current = sc._jsc.sc().getCheckpointDir()
+    except Exception:  # noqa: BLE001 — Connect: the server owns spark.checkpoint.dir
+        return spark.conf.get("spark.checkpoint.dir", "")
     if current.isDefined():
         return current.get()
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
@@ -101,8 +104,12 @@ def spread_scan(df):
     core; a round-robin repartition to the default parallelism fixes that.
     Counting partitions plans the scan only; it runs no job.
     """
-    target = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
+    try:
+        target = df.sparkSession.sparkContext.defaultParallelism
+        splits = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 — no JVM context (e.g. a Connect session): leave as is
+        return df
+    if splits < target:
         return df.repartition(target)
     return df
 
