@@ -89,3 +89,17 @@ def report_header(df: DataFrame, now, title: str = S.REPORT_TITLE) -> DataFrame:
         local_time(ts_lit(now)).alias("generated_at"),
         "total",
         report_id(now, F.concat(F.lit("report:"), F.col("total").cast("string"))).alias("report_id"))
+
+
+def write_report(df: DataFrame, root: str, now, name: str = "evidence_report",
+                 fmt: str = "parquet") -> str:
+    """Write the three report tables under ``<root>/<name>_<yyyy-MM-dd>/``
+    (K3 + K6): ``header`` (one row), ``summary`` and ``details`` (in stored
+    order, numbered). Returns the folder."""
+    from ..sinks.export import dated
+
+    out = f"{root}/{dated(name, now)}"
+    report_header(df, now).write.mode("overwrite").format(fmt).save(f"{out}/header")
+    report_summary(df).write.mode("overwrite").format(fmt).save(f"{out}/summary")
+    report_details(df).write.mode("overwrite").format(fmt).save(f"{out}/details")
+    return out

@@ -96,3 +96,17 @@ def test_stream_dedup_with_ttl_watermark(spark, tmp_dir):
                          .option("checkpointLocation", ck).outputMode("append"))
     got = sorted(r.text for r in spark.read.parquet(out).collect())
     assert got == ["other message", "same message"]
+
+
+def test_write_report_tables(spark, tmp_dir):
+    from msgshield.operators.report import write_report
+    from msgshield.plans import fixtures as fx
+    ev = fx.evidence(spark, "/root/testdata/sf0.001")
+    out = write_report(ev, tmp_dir, fx.NOW)
+    assert out.endswith("evidence_report_2024-06-01")
+    h = spark.read.parquet(f"{out}/header").first()
+    assert h.total == ev.count() and h.report_id.startswith("SR-")
+    d = spark.read.parquet(f"{out}/details")
+    assert sorted(r.incident_no for r in d.collect()) == list(range(1, ev.count() + 1))
+    s = spark.read.parquet(f"{out}/summary").collect()
+    assert sum(r.n for r in s) == ev.count() and all(r.n > 0 for r in s)
