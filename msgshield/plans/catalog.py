@@ -134,7 +134,9 @@ def q_stamp_evidence(spark, sf_dir):
 @register("lookup_id")
 def q_lookup_id(spark, sf_dir):
     found = ev_ops.lookup(fx.evidence(spark, sf_dir), fx.lookup_ids(spark, sf_dir))
-    return found.select("id", "found", "seq", "severity")
+    # Integer outputs stay non-null (-1 = none) so engines that widen nullable
+    # ints to floats still compare equal; the operator itself returns null.
+    return found.select("id", "found", F.coalesce("seq", F.lit(-1)).alias("seq"), "severity")
 
 
 @register("delete_ids")
@@ -153,8 +155,11 @@ def q_merge_attachments(spark, sf_dir):
     _, (logs2, versions, status) = _merge(spark, sf_dir)
     v = versions.select("att_ord", "revision", F.size("chain_of_custody").alias("n_custody"),
                         "screenshot")
+    none = F.lit(-1)
     return status.join(v, "att_ord", "left").select(
-        "att_ord", "id", "seq", "matched", "revision", "n_custody", "screenshot")
+        "att_ord", "id", F.coalesce("seq", none).alias("seq"), "matched",
+        F.coalesce("revision", none).alias("revision"), F.coalesce("n_custody", none).alias("n_custody"),
+        "screenshot")
 
 
 @register("current_evidence")

@@ -73,7 +73,7 @@ _IDS = "ids AS (SELECT DISTINCT sha256(text) AS id FROM documents WHERE doc_id %
 ORACLE["lookup_id"] = f"""
 WITH {EVIDENCE}, {_IDS},
   firsts AS (SELECT id, min(seq) AS seq, arg_min(severity, seq) AS severity FROM ev GROUP BY id)
-SELECT ids.id, firsts.seq IS NOT NULL AS found, firsts.seq, firsts.severity
+SELECT ids.id, firsts.seq IS NOT NULL AS found, coalesce(firsts.seq, -1) AS seq, firsts.severity
 FROM ids LEFT JOIN firsts ON ids.id = firsts.id"""
 
 ORACLE["delete_ids"] = f"""
@@ -94,9 +94,9 @@ _ATT = f"""
 
 ORACLE["merge_attachments"] = f"""
 WITH {EVIDENCE}, {_ATT}
-SELECT att_ord, id, seq, seq IS NOT NULL AS matched,
-       CASE WHEN seq IS NOT NULL THEN CAST(j AS INTEGER) END AS revision,
-       CASE WHEN seq IS NOT NULL THEN CAST(1 + j AS INTEGER) END AS n_custody,
+SELECT att_ord, id, coalesce(seq, -1) AS seq, seq IS NOT NULL AS matched,
+       CASE WHEN seq IS NOT NULL THEN CAST(j AS INTEGER) ELSE -1 END AS revision,
+       CASE WHEN seq IS NOT NULL THEN CAST(1 + j AS INTEGER) ELSE -1 END AS n_custody,
        CASE WHEN seq IS NOT NULL THEN shot END AS screenshot
 FROM numbered"""
 
