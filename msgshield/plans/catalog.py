@@ -595,16 +595,12 @@ def q_stream_source(spark, sf_dir):
 def q_stream_dedup(spark, sf_dir):
     inp, out, ck = (scratch_path(spark, n) for n in ("in", "out", "ck"))
     _land_files(fx.document_messages(spark, sf_dir), inp)
-    s = st.stream_dedup(filter_messages_stream(st.read_message_stream(spark, inp)))
+    s = st.stream_dedup(detect.filter_messages(st.read_message_stream(spark, inp)))
     st.run_to_completion(s.writeStream.format("parquet").option("path", out)
                          .option("checkpointLocation", ck).outputMode("append"))
     return spark.read.parquet(out).select("scope", "id")
 
 
-def filter_messages_stream(df):
-    return detect.filter_messages(df)
-
-
 @register("stream_retry")
 def q_stream_retry(spark, sf_dir):
     inp, attempts, ck = (scratch_path(spark, n) for n in ("in", "attempts", "ck"))
