@@ -155,3 +155,33 @@ def overwrite_sink(path: str):
     def handle(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(path)
     return handle
+
+
+def live_detection(spark: SparkSession, input_path: str, scorer, out_root: str, now,
+                   checkpoint: str, available_now: bool = False, **decide_kw):
+    """The live path of the reference as one streaming job:
+    message files → trim/length filter → first occurrence per scope → score
+    (failures recorded and retried in later batches) → decision → evidence
+    record → incident log + evidence store (idempotent per batch).
+
+    ``scorer(df)`` adds ``scores`` plus ``status``/``error`` (see
+    :func:`score_with_retry`). Writes under ``out_root``: ``attempts``,
+    ``incident_logs``, ``evidence``. Returns the finished (available_now) or
+    running query.
+    """
+    from ..functions.decision import with_decision
+    from ..operators.evidence import build_evidence, stamp
+
+    writer_incidents = dual_write(f"{out_root}/incident_logs", f"{out_root}/evidence")
+
+    def on_scored(ok: DataFrame, batch_id: int) -> None:
+        decided = with_decision(ok, **decide_kw)
+        records = stamp(build_evidence(decided, now, seq="ord"), now)
+        writer_incidents(records, batch_id)
+
+    handler = score_with_retry(f"{out_root}/attempts", scorer, on_scored=on_scored)
+    writer = (read_message_stream(spark, input_path).writeStream.foreachBatch(handler)
+              .option("checkpointLocation", checkpoint))
+    if available_now:
+        return run_to_completion(writer, True)
+    return writer.trigger(**trigger_options(False)).start()

@@ -110,3 +110,21 @@ def test_write_report_tables(spark, tmp_dir):
     assert sorted(r.incident_no for r in d.collect()) == list(range(1, ev.count() + 1))
     s = spark.read.parquet(f"{out}/summary").collect()
     assert sum(r.n for r in s) == ev.count() and all(r.n > 0 for r in s)
+
+
+def test_live_detection_end_to_end(spark, tmp_dir):
+    from msgshield.plans import catalog as C
+    from msgshield.plans import fixtures as fx
+    inp, root, ck = (os.path.join(tmp_dir, n) for n in ("in", "out", "ck"))
+    msgs = fx.document_messages(spark, "/root/testdata/sf0.001")
+    C._land_files(msgs, inp)
+    st.live_detection(spark, inp, C.fixture_scorer, root, fx.NOW, ck, available_now=True)
+    attempts = spark.read.parquet(f"{root}/attempts")
+    ev = spark.read.parquet(f"{root}/evidence")
+    logs = spark.read.parquet(f"{root}/incident_logs")
+    firsts = C.deduped_document_messages(spark, "/root/testdata/sf0.001")
+    assert attempts.count() == firsts.count()
+    flagged_ok = (C.with_decision(fx.with_fixture_scores(firsts, key="ord"))
+                  .where("is_toxic AND ord % 11 != 0").count())
+    assert ev.count() == logs.count() == flagged_ok
+    assert ev.where("version = '1.0' AND encrypted = false").count() == flagged_ok
