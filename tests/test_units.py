@@ -128,3 +128,25 @@ def test_live_detection_end_to_end(spark, tmp_dir):
                   .where("is_toxic AND ord % 11 != 0").count())
     assert ev.count() == logs.count() == flagged_ok
     assert ev.where("version = '1.0' AND encrypted = false").count() == flagged_ok
+
+
+def test_prepare_corpus_both_paths(spark, tmp_dir):
+    from msgshield.plans import catalog as C
+    from msgshield.plans import fixtures as fx
+    from msgshield.plans.training import prepare_corpus
+    sf = "/root/testdata/sf0.01"
+    raw = fx.hindi_raw(spark, sf)
+    specs = []
+    for name in ("hindi_train", "hindi_val", "hindi_test"):
+        p = os.path.join(tmp_dir, name)
+        write_labelled_csv(raw.where(F.col("source_name") == name).select("comment_text", "label", "ord"), p)
+        specs.append((name, p))
+    ev = prepare_corpus(spark, specs, fx.english_raw(spark, sf), fx.hinglish_raw(spark, sf), hold_out=True)
+    want = {(r.split, r.corpus, r.label, r.n) for r in C.q_split_sizes(spark, sf).collect()}
+    got = {(r.split, r.corpus, r.label, r.n) for r in ev["sizes"].collect()}
+    assert got == want
+    n = ev["examples"].count()
+    assert sorted(r.pos for r in ev["examples"].select("pos").collect()) == list(range(n))
+    tr = prepare_corpus(spark, specs[:1], fx.english_raw(spark, sf), None, hold_out=False)
+    splits = {r.split for r in tr["examples"].select("split").distinct().collect()}
+    assert splits == {"train", "validation"}
