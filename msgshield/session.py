@@ -36,6 +36,8 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
         # ...and never more than 64 MiB per batch: raw HTML pages and long
         # documents would otherwise make 10k-row batches gigabytes large.
         "spark.sql.execution.arrow.maxBytesPerBatch": str(64 * 1024 * 1024),
+        # Index checkpoints are per query; drop their files once unreferenced.
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         # Streaming dedup state is exact and unbounded by design; RocksDB keeps
         # it off the JVM heap and checkpoints it incrementally.
         "spark.sql.streaming.stateStore.providerClass":
