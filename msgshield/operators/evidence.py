@@ -158,6 +158,8 @@ def merge_attachments(logs: DataFrame, attachments: DataFrame, now, text: str =
                    .withColumn("screenshot", F.col("att_screenshot"))
                    .withColumn("chain_of_custody", add_events(F.col("revision")))
                    .drop("att_screenshot"))
+    if "saved_at" in versions.columns:     # a re-save is stamped when it happens
+        versions = versions.withColumn("saved_at", ts_lit(now))
     status = (att.join(first_seq, "id", "left")
                  .select("att_ord", "id", F.col("_first_seq").alias("seq"),
                          F.col("_first_seq").isNotNull().alias("matched")))
