@@ -150,3 +150,18 @@ def test_prepare_corpus_both_paths(spark, tmp_dir):
     tr = prepare_corpus(spark, specs[:1], fx.english_raw(spark, sf), None, hold_out=False)
     splits = {r.split for r in tr["examples"].select("split").distinct().collect()}
     assert splits == {"train", "validation"}
+
+
+def test_review_store(spark, tmp_dir):
+    from msgshield.plans import fixtures as fx
+    from msgshield.plans.review import review_store
+    from msgshield.sinks.export import append_evidence
+    ev = fx.evidence(spark, "/root/testdata/sf0.001")
+    store = os.path.join(tmp_dir, "store")
+    append_evidence(ev, store)
+    out = review_store(spark, store, os.path.join(tmp_dir, "out"), fx.NOW)
+    n = ev.count()
+    assert out["stats"].first().total == n
+    assert sorted(r.pos for r in out["listing"].collect()) == list(range(n))
+    assert spark.read.json(f"{out['export']}/manifest").first().totalIncidents == n
+    assert spark.read.parquet(f"{out['report']}/details").count() == n
