@@ -7,12 +7,22 @@ them whole. Outputs are flat scalar columns named like the oracle SQL in
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..functions import codec
 from ..functions.decision import abusive_sum, with_decision
-from ..functions.labels import is_abusive_label
-from ..functions.text import evidence_id, utf16_len
-from ..operators import detect, evidence as ev_ops, stats
+from ..functions.labels import argmax, id2label, is_abusive_label, label2id, lenient_label
+from ..functions.text import evidence_id, utf16_len, with_fixed_tokens
+from ..operators import corpus as corp
+from ..operators import detect, evidence as ev_ops, metrics, report as rep, scoring, stats
+from ..session import read_table, scratch_path
+from ..sinks import export as sink
+from ..sources import corpus as src
+from ..sources import html as html_src
+from ..sources.evidence import read_evidence
+from ..streaming import stream as st
 from . import fixtures as fx
 
 QUERIES: dict = {}
@@ -199,9 +209,6 @@ def q_latest_log(spark, sf_dir):
 # ---------------------------------------------------------------------------
 # Corpus: S1–S5, P1–P4, J3, J9, O3–O5, O7, A4
 # ---------------------------------------------------------------------------
-from ..operators import corpus as corp  # noqa: E402
-from ..session import scratch_path  # noqa: E402
-from ..sources import corpus as src  # noqa: E402
 
 
 @register("csv_scan")
@@ -270,7 +277,6 @@ def q_clean_examples(spark, sf_dir):
 def q_lenient_label(spark, sf_dir):
     raw = src.resolve_aliases(fx.hindi_raw(spark, sf_dir, string_labels=True))
     c = src.clean_examples(raw, keep=["ord"])
-    from ..functions.labels import lenient_label
     return c.select("ord", F.col("label").alias("label_raw"), lenient_label("label").alias("label"))
 
 
@@ -291,7 +297,6 @@ def q_invert_label(spark, sf_dir):
 def hindi_examples(spark, sf_dir):
     raw = src.resolve_aliases(fx.hindi_raw(spark, sf_dir))
     c = src.clean_examples(raw, keep=["ord", "source_name"])
-    from ..functions.labels import lenient_label
     return c.select("text", lenient_label("label").alias("label"), F.lit("hindi").alias("corpus"),
                     src.route_split("source_name").alias("split"), "ord")
 
@@ -351,9 +356,6 @@ def q_isolation_check(spark, sf_dir):
 # ---------------------------------------------------------------------------
 # Metrics and scoring: O8, A5–A8, M1–M5, K7, P16
 # ---------------------------------------------------------------------------
-from ..functions.labels import argmax, id2label, label2id  # noqa: E402
-from ..functions.text import with_fixed_tokens  # noqa: E402
-from ..operators import metrics, scoring  # noqa: E402
 
 
 def predictions(spark, sf_dir):
@@ -462,12 +464,6 @@ def q_scorer_roundtrip(spark, sf_dir):
 # ---------------------------------------------------------------------------
 # Reports, codecs, exports, store: P13, O6, K1–K6, P14, P15, J6, S8
 # ---------------------------------------------------------------------------
-import os as _os  # noqa: E402
-
-from ..functions import codec  # noqa: E402
-from ..operators import report as rep  # noqa: E402
-from ..sinks import export as sink  # noqa: E402
-from ..sources.evidence import read_evidence  # noqa: E402
 
 
 @register("format_report")
@@ -508,7 +504,7 @@ def q_decode_attachment(spark, sf_dir):
 
 @register("encrypt_roundtrip")
 def q_encrypt_roundtrip(spark, sf_dir):
-    key = codec.aes_key(spark, spark.conf.get("msgshield.evidence.key", None) or _os.urandom(32))
+    key = codec.aes_key(spark, spark.conf.get("msgshield.evidence.key", None) or os.urandom(32))
     ev = fx.evidence(spark, sf_dir)
     enc = codec.encrypt_columns(ev, ["text", "source"], key).withColumn("encrypted", F.lit(True))
     dec = codec.decrypt_columns(enc.withColumn("_cipher", F.col("text")), ["text", "source"], key)
@@ -565,7 +561,6 @@ def q_clear_store(spark, sf_dir):
 # ---------------------------------------------------------------------------
 # Streaming: S7, T1–T5 (availableNow runs, compared with the batch oracle)
 # ---------------------------------------------------------------------------
-from ..streaming import stream as st  # noqa: E402
 
 
 def _land_files(df, path, n_files=4):
@@ -644,13 +639,11 @@ def q_stream_stats(spark, sf_dir):
 # ---------------------------------------------------------------------------
 # Extraction: S6 (rows-only: no HTML parser in the oracle engine)
 # ---------------------------------------------------------------------------
-from ..session import read_table as _read_table  # noqa: E402
-from ..sources import html as html_src  # noqa: E402
 
 FIXTURE_RULES = html_src.REFERENCE_RULES + ("article p",)
 
 
 @register("extract_messages")
 def q_extract_messages(spark, sf_dir):
-    pages = _read_table(spark, sf_dir, "pages")
+    pages = read_table(spark, sf_dir, "pages")
     return html_src.extract_messages(pages, FIXTURE_RULES)
