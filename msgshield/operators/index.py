@@ -11,7 +11,7 @@ its partition, which ``monotonically_increasing_id`` already encodes.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..session import ensure_checkpoint_dir
 
@@ -53,8 +53,3 @@ def global_index(df: DataFrame, order, by=None, index_col: str = "idx") -> DataF
     return (indexed.join(firsts, by)
                    .withColumn(index_col, F.col(index_col) - F.col("_first"))
                    .drop("_first"))
-
-
-def group_sizes(df: DataFrame, by) -> DataFrame:
-    """Rows per group (partial aggregation before the shuffle)."""
-    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
