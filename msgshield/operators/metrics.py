@@ -82,24 +82,19 @@ def macro_f1_expr(label: str = "label", pred: str = "pred", classes=(0, 1)) -> F
 
 
 def compare_models(df: DataFrame, a: str = "pred_a", b: str = "pred_b",
-                   label: str = "label") -> DataFrame:
+                   label: str = "label", classes=(0, 1)) -> DataFrame:
     """Accuracy and macro F1 of two prediction columns on the same rows, and
-    the accuracy difference (second − first) (A8). The two columns are
-    unpivoted so both models share one pass over the rows."""
+    the accuracy difference (second − first) (A8).
+
+    The two columns are unpivoted so both models share one pass and one
+    grouped aggregate (partial aggregation per model); classes not seen in a
+    model's labels or predictions are left out of its macro F1, as in A7.
+    """
     long = df.select(label, a, b).unpivot([label], [a, b], "model", "pred")
-    counts = long.groupBy("model", F.col(label).alias("label"), "pred").agg(
-        F.count(F.lit(1)).alias("n"))
-    acc = counts.groupBy("model").agg(
-        (F.sum(F.when(F.col("label") == F.col("pred"), F.col("n")).otherwise(0)).cast("double")
-         / F.sum("n").cast("double")).alias("accuracy"))
-    parts = []
-    for m in (a, b):
-        f = per_class_f1(counts.where(F.col("model") == m).drop("model")).agg(
-            (F.sum("f1") / F.count(F.lit(1))).alias("macro_f1"))
-        parts.append(f.withColumn("model", F.lit(m)))
-    f1 = parts[0].unionByName(parts[1])
-    per_model = acc.join(f1, "model")
-    wide = per_model.groupBy().agg(
+    per_model = long.groupBy("model").agg(
+        F.avg((F.col(label) == F.col("pred")).cast("double")).alias("accuracy"),
+        macro_f1_expr(label, "pred", classes).alias("macro_f1"))
+    wide = per_model.agg(
         F.max(F.when(F.col("model") == a, F.col("accuracy"))).alias("accuracy_a"),
         F.max(F.when(F.col("model") == a, F.col("macro_f1"))).alias("macro_f1_a"),
         F.max(F.when(F.col("model") == b, F.col("accuracy"))).alias("accuracy_b"),

@@ -48,3 +48,11 @@ def test_dedup_exchange_below_python_scorer(spark):
 def test_severity_dimension_broadcast(spark):
     p = plan(format_report(fx.evidence(spark, SF_SMALL)))
     assert "BroadcastHashJoin" in p or "BroadcastExchange" in p
+
+
+def test_spread_only_small_scans(spark):
+    from msgshield.session import read_table, spread_scan
+    raw = read_table(spark, SF_SMALL, "documents", spread=False)
+    target = spark.sparkContext.defaultParallelism
+    assert spread_scan(raw).rdd.getNumPartitions() == target
+    assert spread_scan(raw, max_bytes=1).rdd.getNumPartitions() == raw.rdd.getNumPartitions()
