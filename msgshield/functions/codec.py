@@ -23,8 +23,8 @@ def aes_key(spark, key: str | bytes | None = None, conf: str = "msgshield.eviden
     """Resolve the column-encryption key: argument, else the session conf.
 
     No default key exists; without one this raises. The key must be 16, 24
-    or 32 bytes. Keep it out of logged plans with
-    ``spark.sql.redaction.string.regex``.
+    or 32 bytes. It enters plans as data (see :func:`encrypt_columns`), never
+    as a literal.
     """
     k = key if key is not None else spark.conf.get(conf, None)
     if k is None:
@@ -35,11 +35,18 @@ def aes_key(spark, key: str | bytes | None = None, conf: str = "msgshield.eviden
     return kb
 
 
+def _key_column(spark, key: bytes) -> Column:
+    """The key as a scalar subquery over a one-row table: it is evaluated once
+    and shipped with the tasks, while ``explain`` and the query log show only
+    ``Subquery`` (a literal would print the key bytes). No join is added."""
+    return spark.createDataFrame([(bytearray(key),)], "_key binary").select("_key").scalar()
+
+
 def encrypt_columns(df: DataFrame, cols, key: bytes, enabled: bool = True) -> DataFrame:
     """AES-GCM encrypt string columns to base64 text (P15). Disabled → unchanged."""
     if not enabled:
         return df
-    k = F.lit(key)
+    k = _key_column(df.sparkSession, key)
     return df.withColumns({c: F.base64(F.aes_encrypt(F.encode(F.col(c), "UTF-8"), k, F.lit("GCM")))
                            for c in cols})
 
@@ -48,7 +55,7 @@ def decrypt_columns(df: DataFrame, cols, key: bytes, enabled: bool = True) -> Da
     """Inverse of :func:`encrypt_columns`; exact round trip."""
     if not enabled:
         return df
-    k = F.lit(key)
+    k = _key_column(df.sparkSession, key)
     return df.withColumns({c: F.decode(F.aes_decrypt(F.unbase64(F.col(c)), k, F.lit("GCM")), "UTF-8")
                            for c in cols})
 

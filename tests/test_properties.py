@@ -80,3 +80,15 @@ def test_compare_same_model_delta_zero(spark):
     p = C.predictions(spark, SF_SMALL)
     r = compare_models(p, a="pred", b="pred").first()
     assert r.accuracy_delta == 0.0 and r.macro_f1_a == r.macro_f1_b
+
+
+def test_key_not_in_plan(spark):
+    key = b"K" * 16 + os.urandom(16)
+    ev = fx.evidence(spark, SF_SMALL).select("seq", "text")
+    enc = codec.encrypt_columns(ev, ["text"], key)
+    qe = enc._jdf.queryExecution()
+    text = qe.toString() + qe.executedPlan().toString()
+    assert key.hex() not in text.lower() and "KKKKKKKKKKKKKKKK" not in text
+    assert "BroadcastNestedLoopJoin" not in text and "CartesianProduct" not in text
+    dec = codec.decrypt_columns(enc, ["text"], key)
+    assert sorted(dec.collect()) == sorted(ev.collect())
