@@ -69,3 +69,44 @@ def test_observe_quota_during_write(spark, tmp_dir):
     observed.write.mode("overwrite").parquet(os.path.join(tmp_dir, "o"))
     m = obs.get
     assert m["rows"] == ev.count() and m["chars"] > 0
+
+
+def _js_json(o):
+    """JSON.stringify-like: compact, raw unicode, shortest numbers, 1.0 → 1."""
+    if o is None:
+        return "null"
+    if isinstance(o, bool):
+        return "true" if o else "false"
+    if isinstance(o, float):
+        r = repr(o)
+        return r[:-2] if r.endswith(".0") else r
+    if isinstance(o, int):
+        return str(o)
+    if isinstance(o, str):
+        return json.dumps(o, ensure_ascii=False)
+    if isinstance(o, list):
+        return "[" + ",".join(_js_json(v) for v in o) + "]"
+    return "{" + ",".join(json.dumps(k) + ":" + _js_json(v) for k, v in o.items()) + "}"
+
+
+def test_store_size_full_form_matches_js_serialisation(spark):
+    """A2 on every field (the oracle checks string fields only)."""
+    ev = fx.evidence(spark, SF_SMALL)
+    iso = lambda t: t.strftime("%Y-%m-%dT%H:%M:%S.") + f"{t.microsecond // 1000:03d}Z"
+    total = 0
+    rows = ev.collect()
+    for r in rows:
+        rec = dict([("id", r.id), ("timestamp", iso(r.timestamp)), ("timestampMs", r.timestamp_ms),
+               ("source", r.source), ("text", r.text), ("severity", r.severity),
+               ("maxScore", r.max_score),
+               ("categories", [{"category": c.category, "score": c.score, "severity": c.severity}
+                               for c in r.categories]),
+               ("allScores", [{"label": a.label, "score": a.score} for a in r.all_scores]),
+               ("screenshot", r.screenshot),
+               ("chainOfCustody", [{"action": e.action, "timestamp": iso(e.timestamp),
+                                    "actor": e.actor} for e in r.chain_of_custody]),
+               ("score", r.score), ("label", r.label), ("savedAt", iso(r.saved_at)),
+               ("version", r.version), ("encrypted", r.encrypted)])
+        total += len(_js_json(rec).encode("utf-16-be")) // 2
+    expected = total + len(rows) + 1
+    assert store_stats(ev).first().size == expected
