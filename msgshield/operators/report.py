@@ -13,9 +13,12 @@ from .stats import normalized_severity
 
 
 def local_time(col, tz: str = S.REPORT_TIMEZONE, pattern: str = S.REPORT_TIME_PATTERN):
-    """en-IN medium date and time in the report zone; null → 'N/A'."""
+    """en-IN medium date and time in the report zone, e.g. ``5 Feb 2024, 6:31:00 am``
+    (the browser's en-IN locale writes the day period in lower case); null → 'N/A'."""
     c = F.col(col) if isinstance(col, str) else col
-    return F.coalesce(F.date_format(F.from_utc_timestamp(c, tz), pattern), F.lit("N/A"))
+    s = F.date_format(F.from_utc_timestamp(c, tz), pattern)
+    s = F.regexp_replace(F.regexp_replace(s, " AM$", " am"), " PM$", " pm")
+    return F.coalesce(s, F.lit("N/A"))
 
 
 def _category_text(cats, banner: bool):

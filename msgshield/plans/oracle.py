@@ -337,7 +337,8 @@ def _base36(n: int) -> str:
     return out or "0"
 
 
-_LOCAL = "strftime(epoch_ms({x}) + INTERVAL 330 MINUTE, '%-d %b %Y, %-I:%M:%S %p')"
+_LOCAL = ("(strftime(epoch_ms({x}) + INTERVAL 330 MINUTE, '%-d %b %Y, %-I:%M:%S ') || "
+          "lower(strftime(epoch_ms({x}) + INTERVAL 330 MINUTE, '%p')))")
 _PCT1 = "floor(max_score * 1000.0 + 0.5) / 10.0"
 _CATS = f"'ABUSIVE (HINGLISH MACD) (' || CAST(CAST(floor(max_score * 100.0 + 0.5) AS BIGINT) AS VARCHAR) || '%)'"
 
