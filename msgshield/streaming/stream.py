@@ -158,7 +158,8 @@ def overwrite_sink(path: str):
 
 
 def live_detection(spark: SparkSession, input_path: str, scorer, out_root: str, now,
-                   checkpoint: str, available_now: bool = False, **decide_kw):
+                   checkpoint: str, available_now: bool = False,
+                   max_files_per_trigger: int | None = None, **decide_kw):
     """The live path of the reference as one streaming job:
     message files → trim/length filter → first occurrence per scope → score
     (failures recorded and retried in later batches) → decision → evidence
@@ -180,7 +181,10 @@ def live_detection(spark: SparkSession, input_path: str, scorer, out_root: str,
         writer_incidents(records, batch_id)
 
     handler = score_with_retry(f"{out_root}/attempts", scorer, on_scored=on_scored)
-    writer = (read_message_stream(spark, input_path).writeStream.foreachBatch(handler)
+    # max_files_per_trigger bounds each micro-batch (and so the keys each
+    # batch checks against the attempt history).
+    writer = (read_message_stream(spark, input_path, max_files_per_trigger=max_files_per_trigger)
+              .writeStream.foreachBatch(handler)
               .option("checkpointLocation", checkpoint))
     if available_now:
         return run_to_completion(writer, True)
