@@ -99,7 +99,29 @@ ATTEMPT = T.StructType([
 ])
 
 
-def score_with_retry(attempts_path: str, scorer, on_scored=None):
+OK_KEYS = T.StructType([T.StructField("scope", T.StringType()), T.StructField("id", T.StringType())])
+
+
+def _snapshot_path(attempts_path: str, upto: int) -> str:
+    return f"{attempts_path.rstrip('/')}__ok/upto={upto}"
+
+
+def _read_ok_snapshot(spark: SparkSession, attempts_path: str, upto: int) -> DataFrame:
+    if upto < 0:
+        return spark.createDataFrame([], OK_KEYS)
+    return spark.read.schema(OK_KEYS).parquet(_snapshot_path(attempts_path, upto))
+
+
+def _ok_attempts(spark: SparkSession, attempts_path: str, after: int, before: int) -> DataFrame:
+    """Successful keys of batches in (after, before); ``batch_id`` is the
+    partition column, so other batches' folders are pruned, not read."""
+    a = read_batches(spark, attempts_path, ATTEMPT)
+    return (a.where((F.col("batch_id") > after) & (F.col("batch_id") < before)
+                    & (F.col("status") == "ok"))
+             .select("scope", "id"))
+
+
+def score_with_retry(attempts_path: str, scorer, on_scored=None, compact_every: int | None = 100):
     """``foreachBatch`` handler for score-and-route with retry.
 
     Per micro-batch: trim/length filter, first occurrence per (scope, text),
@@ -108,12 +130,31 @@ def score_with_retry(attempts_path: str, scorer, on_scored=None):
     score, record every attempt with its status, and hand the successful
     rows to ``on_scored(df, batch_id)``. ``scorer(df)`` must return ``df`` plus
     ``status`` ('ok' / 'error') and ``error`` columns instead of raising.
+
+    History compaction: the handler of every ``compact_every``-th batch first
+    writes the distinct successful keys of all batches before it (previous
+    snapshot + the batches since) as a snapshot; later batches read that
+    snapshot plus only the batches after it. Snapshot positions follow from
+    the batch id alone, and rewriting one on replay gives the same rows, so
+    the history read per batch stays one row per successful key plus at most
+    ``compact_every`` recent batches.
     """
     def handle(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
+        snap = -1
+        if compact_every:
+            snap = (batch_id // compact_every) * compact_every - 1
+            if snap >= 0 and batch_id % compact_every == 0:
+                prev = snap - compact_every
+                keys = (_read_ok_snapshot(spark, attempts_path, prev)
+                        .unionByName(_ok_attempts(spark, attempts_path, prev, snap + 1))
+                        .distinct())
+                keys.write.mode("overwrite").parquet(_snapshot_path(attempts_path, snap))
+        done = (_read_ok_snapshot(spark, attempts_path, snap)
+                .unionByName(_ok_attempts(spark, attempts_path, snap, batch_id))
+                .withColumn("status", F.lit("ok")))
         msgs = dedup_first(filter_messages(batch))
-        prior = read_batches(spark, attempts_path, ATTEMPT).where(F.col("batch_id") < batch_id)
-        todo = pending(msgs, prior).persist()
+        todo = pending(msgs, done).persist()
         try:
             scored = scorer(todo).persist()
             _overwrite_batch(scored.select(*[f.name for f in ATTEMPT.fields]), attempts_path, batch_id)

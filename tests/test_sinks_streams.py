@@ -110,3 +110,26 @@ def test_store_size_full_form_matches_js_serialisation(spark):
         total += len(_js_json(rec).encode("utf-16-be")) // 2
     expected = total + len(rows) + 1
     assert store_stats(ev).first().size == expected
+
+
+def test_retry_history_compaction_same_attempts(spark, tmp_dir):
+    """Driving the handler over 7 batches: compacting every 2 batches gives
+    the same attempts as reading the whole history, and replaying a batch
+    (also a compaction point) changes nothing."""
+    from msgshield.plans import catalog as C
+    msgs = fx.document_messages(spark, SF_SMALL)
+    batches = [msgs.where(F.col("ord") % 7 == k) for k in range(7)]
+
+    def run(path, every, replay=None):
+        h = st.score_with_retry(path, C.fixture_scorer, compact_every=every)
+        for b, df in enumerate(batches):
+            h(df, b)
+            if replay == b:
+                h(df, b)
+        return sorted(tuple(r) for r in st.read_batches(spark, path, st.ATTEMPT)
+                      .select("scope", "id", "ord", "status", "batch_id").collect())
+
+    full = run(os.path.join(tmp_dir, "a"), None)
+    compacted = run(os.path.join(tmp_dir, "b"), 2, replay=4)
+    assert full == compacted and len(full) > 0
+    assert os.path.isdir(os.path.join(tmp_dir, "b__ok", "upto=5"))
