@@ -33,6 +33,38 @@ def export_json(df: DataFrame, root: str, now, name: str = "evidence_export") ->
     return out
 
 
+def export_json_document(df: DataFrame, root: str, now, name: str = "evidence_export") -> str:
+    """The reference's single JSON document ``{exportDate, version,
+    totalIncidents, evidence: [...]}``, written without passing the store
+    through one task.
+
+    Records are numbered in insertion order by the distributed index; every
+    record becomes one line (with a trailing comma except the last), framed
+    by a header line and a closing line, and the lines are range-sorted by
+    position. The part files, concatenated in name order, are one valid JSON
+    document (newlines between elements are JSON whitespace). Returns the
+    folder.
+    """
+    from ..operators.index import global_index
+
+    out = f"{root}/{dated(name, now)}.json.d"
+    total = df.count()                        # one number to the driver, used in the header
+    spark = df.sparkSession
+    numbered = global_index(df, [F.col("revision"), F.col("seq")], index_col="_pos")
+    body = numbered.select(
+        F.col("_pos").cast("long").alias("_pos"),
+        F.concat(record_json(numbered),
+                 F.when(F.col("_pos") < F.lit(total - 1), F.lit(",")).otherwise(F.lit("")))
+        .alias("value"))
+    ts = _dt.datetime.fromtimestamp(to_millis(now) / 1000, tz=_dt.timezone.utc)
+    head = ('{"exportDate":"' + ts.strftime("%Y-%m-%dT%H:%M:%S.") + f"{ts.microsecond // 1000:03d}Z"
+            + f'","version":"{S.EVIDENCE_VERSION}","totalIncidents":{total},"evidence":[')
+    frame = spark.createDataFrame([(-1, head), (total, "]}")], "_pos long, value string")
+    (body.unionByName(frame).orderBy("_pos").select("value")
+         .write.mode("overwrite").text(out))
+    return out
+
+
 def _js_number(c):
     """Number → text the way JavaScript prints it for ordinary values."""
     return F.when(c.isNull(), F.lit(None).cast("string")).when(

@@ -133,3 +133,21 @@ def test_retry_history_compaction_same_attempts(spark, tmp_dir):
     compacted = run(os.path.join(tmp_dir, "b"), 2, replay=4)
     assert full == compacted and len(full) > 0
     assert os.path.isdir(os.path.join(tmp_dir, "b__ok", "upto=5"))
+
+
+def test_single_json_document_export(spark, tmp_dir):
+    ev = fx.evidence(spark, SF_SMALL)
+    out = sink.export_json_document(ev, tmp_dir, fx.NOW)
+    parts = sorted(f for f in os.listdir(out) if f.startswith("part-"))
+    text = "".join(open(os.path.join(out, f), encoding="utf-8").read() for f in parts)
+    doc = json.loads(text)
+    assert list(doc) == ["exportDate", "version", "totalIncidents", "evidence"]
+    assert doc["exportDate"] == "2024-06-01T00:00:00.000Z" and doc["version"] == "1.0"
+    n = ev.count()
+    assert doc["totalIncidents"] == n == len(doc["evidence"])
+    seqs = sorted(r.seq for r in ev.select("seq").collect())
+    ids = {r.seq: r.id for r in ev.select("seq", "id").collect()}
+    assert [e["id"] for e in doc["evidence"]] == [ids[s] for s in seqs]   # insertion order
+    empty = sink.export_json_document(spark.createDataFrame([], S.EVIDENCE), os.path.join(tmp_dir, "e"), fx.NOW)
+    parts = sorted(f for f in os.listdir(empty) if f.startswith("part-"))
+    assert json.loads("".join(open(os.path.join(empty, f)).read() for f in parts))["evidence"] == []
