@@ -207,7 +207,8 @@ def extract_messages(pages: DataFrame, rules=REFERENCE_RULES, id_col: str = "pag
 
     raw = pages.select(F.col(id_col).cast("long").alias(id_col), url_col, html_col)
     found = raw.mapInPandas(run, OUT_SCHEMA)
-    return found.select("page_id", F.try_parse_url(F.col("url"), F.lit("HOST")).alias("source"),
+    host = F.lower(F.try_parse_url(F.col("url"), F.lit("HOST")))   # location.hostname is lower case
+    return found.select("page_id", host.alias("source"),
                         "rule_idx", "node_idx", "text")
 
 

@@ -66,3 +66,9 @@ def test_distributed_equals_local_loop_on_fixture_pages(spark):
         for r_idx, n_idx, text in extract_from_html(p.html, rules):
             want.append((p.page_id, urlparse(p.url).hostname, r_idx, n_idx, text))
     assert got == sorted(want) and len(got) > 0
+
+
+def test_source_is_lower_case_host_without_port(spark):
+    pages = spark.createDataFrame([(1, "https://Web.Example.COM:8443/x?y=1", HTML)],
+                                  "page_id long, url string, html string")
+    assert {r.source for r in extract_messages(pages).collect()} == {"web.example.com"}
