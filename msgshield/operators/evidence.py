@@ -128,12 +128,17 @@ def merge_attachments(logs: DataFrame, attachments: DataFrame, now, text: str =
     """
     att = attachments.select(F.col(order).alias("att_ord"), evidence_id(F.col(text)).alias("id"),
                              F.col(screenshot).alias("att_screenshot"))
-    # Position of each attachment within its id, skew-safe (range sort on
-    # (id, ord) spreads a hot id over many tasks).
-    att = global_index(att, ["att_ord"], by=["id"], index_col="_j").withColumn(
-        "revision", (F.col("_j") + 1).cast("int")).drop("_j")
-    per_id = att.groupBy("id").agg(F.count(F.lit(1)).alias("n_att"),
+    # Global positions in (id, ord) order, skew-safe (the range sort spreads
+    # a hot id over many tasks); one grouped aggregate then gives each id's
+    # first position, attachment count and last screenshot.
+    att = global_index(att, ["id", "att_ord"], index_col="_g")
+    per_id = att.groupBy("id").agg(F.min("_g").alias("_first"),
+                                   F.count(F.lit(1)).alias("n_att"),
                                    F.max_by("att_screenshot", "att_ord").alias("last_shot"))
+    att = (att.join(per_id.select("id", "_first"), "id")
+              .withColumn("revision", (F.col("_g") - F.col("_first") + 1).cast("int"))
+              .drop("_g", "_first"))
+    per_id = per_id.drop("_first")
     first_log = first_by(logs.where(F.col("id").isNotNull()), ["id"], F.col("seq"))
     event = custody_event(S.SCREENSHOT_ACTION, ts_lit(now))
 
