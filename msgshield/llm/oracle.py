@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mixing
+from . import fingerprint, mixing, secrets
 
 _WORDS = r"[^\x20\x09-\x0D]+"
 
@@ -56,4 +56,57 @@ m AS (SELECT page_id, arg_max(h || pre, length(h || pre)) AS rule, arg_max(verdi
       FROM p JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, pre) GROUP BY page_id)
 SELECT p.page_id, host, path, m.rule, coalesce(m.verdict, 'allow') AS verdict FROM p LEFT JOIN m USING (page_id)"""
 
-ORACLE = {"op1_mix_sources": _mix_sql(), "op8_url_rules": _URL_SQL}
+def _sketch(words: str) -> str:
+    """Sorted distinct retained hashes of a list of words, as a list of hex strings."""
+    k, d = fingerprint.SHINGLE, fingerprint.DIGITS
+    shingles = (f"CASE WHEN len({words}) = 0 THEN [] WHEN len({words}) <= {k} THEN [array_to_string({words}, ' ')] ELSE "
+                f"list_transform(range(1, len({words}) - {k - 2}), lambda i: array_to_string({words}[i:i + {k - 1}], ' ')) END")
+    hashes = f"list_transform({shingles}, lambda s: md5(s))"
+    kept = f"list_filter({hashes}, lambda h: h < '{fingerprint.RETAIN:x}')"
+    least = f"CASE WHEN len({kept}) = 0 AND len({words}) > 0 THEN [list_min({hashes})] ELSE {kept} END"
+    return f"list_sort(list_distinct(list_transform({least}, lambda h: h[1:{d}])))"
+
+
+def _alike(a: str, b: str) -> str:
+    both = f"len(list_intersect({a}, {b}))"
+    return (f"CASE WHEN len({a}) + len({b}) = 0 THEN 1.0::DOUBLE "
+            f"ELSE {both}::DOUBLE / (len({a}) + len({b}) - {both}) END")
+
+
+_FINGERPRINT_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+n AS (SELECT doc_id, text, coalesce(lead(text) OVER (ORDER BY doc_id), first(text) OVER (ORDER BY doc_id)) AS next_text FROM d),
+e AS (SELECT *, substr(text, 1, (length(text) - length(text) // 2)::INT) || substr(next_text, 1, (length(text) // 2)::INT) AS edited FROM n),
+w AS (SELECT *, regexp_extract_all(text, '{_WORDS}') AS w0, regexp_extract_all(edited, '{_WORDS}') AS w1,
+        regexp_extract_all(next_text, '{_WORDS}') AS w2 FROM e),
+s AS (SELECT doc_id, text, edited, {_sketch('w0')} AS s0, {_sketch('w1')} AS s1, {_sketch('w2')} AS s2 FROM w)
+SELECT doc_id, length(text)::BIGINT AS n_chars, sha256(edited) AS edited_sha256,
+        array_to_string(s0, '') AS fingerprint, array_to_string(s1, '') AS edited_fingerprint,
+        {_alike('s0', 's1')} AS near_edited, {_alike('s0', 's2')} AS near_next FROM s"""
+
+
+def _secret_sql() -> str:
+    parts = []
+    for i, r in enumerate(secrets.RULES):
+        p = r.pattern.replace("'", "''")
+        parts.append(f"""SELECT doc_id, {i} AS kind, '{r.name}' AS rule, unnest(range(1, len(m) + 1)) AS i,
+        unnest(m) AS m, unnest(g) AS g, unnest(gaps[1:len(m)]) AS gap, {r.least} AS least FROM (SELECT doc_id,
+        regexp_extract_all(text, '{p}') AS m, regexp_extract_all(text, '{p}', {r.group}) AS g,
+        regexp_split_to_array(text, '{p}') AS gaps FROM d)""")
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+m AS ({' UNION ALL '.join(parts)}),
+f AS (SELECT *, sum(length(gap) + length(m)) OVER (PARTITION BY doc_id, kind ORDER BY i) AS stop FROM m),
+a AS (SELECT doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access,
+        count(*) FILTER (kind = 2) AS n_hex, string_agg(concat_ws(':', rule, (stop - length(m))::BIGINT, stop::BIGINT), ','
+        ORDER BY stop - length(m), kind) AS spans FROM f WHERE length(g) >= least GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+        sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN a USING (doc_id)"""
+
+
+ORACLE = {
+    "op1_mix_sources": _mix_sql(),
+    "op6_document_fingerprints": _FINGERPRINT_SQL,
+    "op8_url_rules": _URL_SQL,
+    "op9_secret_ledger": _secret_sql(),
+}

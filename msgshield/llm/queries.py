@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import mixing, packing, simhash, urlrules
+from . import fingerprint, mixing, packing, secrets, simhash, urlrules
 from .common import table
 
 
@@ -21,15 +21,25 @@ def op4_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op6_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprint_report(table(spark, sf_dir, "documents"))
+
+
 def op8_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return urlrules.judge_urls(pages).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op9_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_report(table(spark, sf_dir, "documents"))
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_simhash_dedup, op4_pack_sequences, op8_url_rules)}
+QUERIES = {f.__name__: f for f in (
+    op1_mix_sources, op2_simhash_dedup, op4_pack_sequences, op6_document_fingerprints, op8_url_rules,
+    op9_secret_ledger)}
