@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import fingerprint, mixing, packing, secrets, simhash, urlrules
+from . import fingerprint, mixing, nearest, packing, secrets, simhash, substrings, toxicity, urlrules
 from .common import table
 
 
@@ -17,10 +17,18 @@ def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", simhash.hex_fingerprint("fp").alias("fingerprint"), "component_id")
 
 
+def op3_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op4_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.substring_report(table(spark, sf_dir, "documents"))
+
+
 def op6_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprint_report(table(spark, sf_dir, "documents"))
 
@@ -34,6 +42,10 @@ def op9_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_report(table(spark, sf_dir, "documents"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
@@ -41,5 +53,5 @@ def tokenizer_path() -> str:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_mix_sources, op2_simhash_dedup, op4_pack_sequences, op6_document_fingerprints, op8_url_rules,
-    op9_secret_ledger)}
+    op1_mix_sources, op2_simhash_dedup, op3_nearest_vectors, op4_pack_sequences, op5_substring_dedup, op6_document_fingerprints,
+    op8_url_rules, op9_secret_ledger, op10_toxicity)}
