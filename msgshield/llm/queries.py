@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import fingerprint, mixing, nearest, packing, secrets, simhash, substrings, toxicity, urlrules
+from . import fingerprint, lines, mixing, nearest, packing, secrets, simhash, substrings, toxicity, urlrules
 from .common import table
 
 
@@ -33,6 +33,10 @@ def op6_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprint_report(table(spark, sf_dir, "documents"))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.line_groups(table(spark, sf_dir, "documents"))
+
+
 def op8_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return urlrules.judge_urls(pages).select("page_id", "host", "path", "rule", "verdict")
@@ -54,4 +58,4 @@ def tokenizer_path() -> str:
 
 QUERIES = {f.__name__: f for f in (
     op1_mix_sources, op2_simhash_dedup, op3_nearest_vectors, op4_pack_sequences, op5_substring_dedup, op6_document_fingerprints,
-    op8_url_rules, op9_secret_ledger, op10_toxicity)}
+    op7_line_dedup, op8_url_rules, op9_secret_ledger, op10_toxicity)}
