@@ -4,6 +4,7 @@
   train     examples → fitted scorer (chosen on the validation split) + fit report
   evaluate  examples + scorer → hold-out metrics
   detect    messages table + scorer → evidence records appended to the store
+  live      message files as they land + scorer → incident log and evidence store
   review    store → statistics, report tables, JSON export
 
 Tables are Parquet folders. Example:
@@ -23,6 +24,7 @@ from .operators import scoring
 from .plans.detection import detect_batch
 from .plans.review import review_store
 from .plans.training import prepare_corpus
+from .streaming.stream import live_detection
 
 
 def _now(s):
@@ -50,6 +52,12 @@ def main(argv=None, spark: SparkSession | None = None) -> dict:
     d.add_argument("--model", required=True)
     d.add_argument("--store", required=True)
     d.add_argument("--now")
+    v = sub.add_parser("live")
+    v.add_argument("--input", required=True, help="folder that message files land in")
+    v.add_argument("--model", required=True)
+    v.add_argument("--out", required=True, help="root of attempts, incident_logs and evidence")
+    v.add_argument("--checkpoint", required=True)
+    v.add_argument("--available-now", action="store_true", help="drain what is there and stop")
     r = sub.add_parser("review")
     r.add_argument("--store", required=True)
     r.add_argument("--out", required=True)
@@ -60,9 +68,7 @@ def main(argv=None, spark: SparkSession | None = None) -> dict:
 
     if a.cmd == "prepare":
         specs = [tuple(x.split("=", 1)) for x in a.source]
-        eng = spark.read.parquet(a.english) if a.english else None
-        hin = spark.read.parquet(a.hinglish) if a.hinglish else None
-        res = prepare_corpus(spark, specs, eng, hin, hold_out=not a.train_path)
+        res = prepare_corpus(spark, specs, a.english, a.hinglish, hold_out=not a.train_path)
         for k in ("examples", "report", "leakage", "sizes"):
             res[k].write.mode("overwrite").parquet(f"{a.out}/{k}")
         return {"out": a.out}
@@ -83,6 +89,12 @@ def main(argv=None, spark: SparkSession | None = None) -> dict:
         model = scoring.load_scorer(a.model)
         detect_batch(spark.read.parquet(a.messages), model, _now(a.now), store_path=a.store)
         return {"store": a.store}
+    if a.cmd == "live":
+        query = live_detection(spark, a.input, scoring.stream_scorer(scoring.load_scorer(a.model)), a.out, None,
+                               a.checkpoint, available_now=a.available_now)
+        if not a.available_now:
+            query.awaitTermination()
+        return {"evidence": f"{a.out}/evidence"}
     res = review_store(spark, a.store, a.out, _now(a.now))
     return {"report": res["report"], "export": res["export"]}
 

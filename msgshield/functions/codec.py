@@ -61,8 +61,9 @@ def decrypt_columns(df: DataFrame, cols, key: bytes, enabled: bool = True) -> Da
 
 
 def report_id(now, salt_col) -> Column:
-    """``SR-<base36 millis>-<5 chars>`` upper-cased; the tail comes from the md5
-    of ``salt_col`` so a report id repeats for the same inputs."""
+    """``SR-<base36 millis>-<5 base-36 digits>`` upper-cased; the tail comes from the
+    crc32 of ``salt_col`` so a report id repeats for the same inputs."""
     ms = to_millis(now)
+    tail = F.conv(F.crc32(_c(salt_col).cast("string").cast("binary")).cast("string"), 10, 36)
     return F.upper(F.concat(F.lit("SR-"), F.conv(F.lit(str(ms)), 10, 36), F.lit("-"),
-                            F.substring(F.md5(_c(salt_col).cast("string")), 1, 5)))
+                            F.lpad(F.right(tail, F.lit(5)), 5, "0")))

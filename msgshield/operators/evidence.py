@@ -13,7 +13,7 @@ from .. import schemas as S
 from ..functions.text import evidence_id
 from ..functions.timeutil import ts_lit, to_millis
 from .firsts import first_by, last_by
-from .index import global_index
+from .index import attach, positions
 
 
 def _falsy_str(c):
@@ -112,63 +112,81 @@ def delete_ids(evidence: DataFrame, ids: DataFrame, id_col: str = "id") -> DataF
     return evidence.join(ids.select(F.col(id_col).alias("id")), "id", "left_anti")
 
 
-def merge_attachments(logs: DataFrame, attachments: DataFrame, now, text: str = "text",
+def attachment_events(logs: DataFrame, attachments: DataFrame, now, text: str = "text",
                       screenshot: str = "screenshot", order: str = "ord"):
-    """Attach screenshots to the first log row of each text.
+    """Attach screenshots to the first log row of each text, in linear form.
+
+    Attachments match on the SHA-256 of their text. Only the first log row of an
+    id (lowest ``seq``) is touched. Returns ``(first, versions, custody, status)``:
 
-    Attachments match on the SHA-256 of their text. Only the first log row of
-    an id (lowest ``seq``) is updated: the last attachment's screenshot wins
-    and one SCREENSHOT_ADDED event is appended per attachment. Every
-    attachment also appends a new version of that record to the evidence
-    store (revision j after the j-th attachment), as the reference re-saves
-    instead of replacing.
+    - ``first``: one row per id with attachments: ``id, seq, n_att, last_shot``;
+    - ``versions``: one new store version per attachment, revision j for the j-th,
+      with its own screenshot and the record's original custody;
+    - ``custody``: one SCREENSHOT_ADDED event per attachment, ``(id, seq,
+      revision, action, timestamp, actor)``; version j's trail is its original one plus
+      the events up to revision j (see :func:`nest_custody`);
+    - ``status``: one row per attachment with ``matched``.
 
-    Returns ``(logs_updated, new_versions, status)``; status has one row per
-    attachment with ``matched``.
+    Positions are taken over ``(id, order)`` only (skew-safe: the range sort spreads
+    a hot id); screenshots join afterwards and never pass the sort.
     """
     att = attachments.select(F.col(order).alias("att_ord"), evidence_id(F.col(text)).alias("id"),
                              F.col(screenshot).alias("att_screenshot"))
-    # Global positions in (id, ord) order, skew-safe (the range sort spreads
-    # a hot id over many tasks); one grouped aggregate then gives each id's
-    # first position, attachment count and last screenshot.
-    att = global_index(att, ["id", "att_ord"], index_col="_g")
-    per_id = att.groupBy("id").agg(F.min("_g").alias("_first"),
-                                   F.count(F.lit(1)).alias("n_att"),
-                                   F.max_by("att_screenshot", "att_ord").alias("last_shot"))
-    att = (att.join(per_id.select("id", "_first"), "id")
-              .withColumn("revision", (F.col("_g") - F.col("_first") + 1).cast("int"))
-              .drop("_g", "_first"))
-    per_id = per_id.drop("_first")
+    placed = positions(att, ["id", "att_ord"], keep=["id", "att_ord"], index_col="_g")
+    starts = placed.groupBy("id").agg(F.min("_g").alias("_first"), F.count(F.lit(1)).alias("n_att"),
+                                      F.max("att_ord").alias("_last"))
+    numbered = (placed.join(starts.select("id", "_first"), "id")
+                      .withColumn("revision", (F.col("_g") - F.col("_first") + 1).cast("int"))
+                      .select("id", "att_ord", "revision"))
     first_log = first_by(logs.where(F.col("id").isNotNull()), ["id"], F.col("seq"))
-    event = custody_event(S.SCREENSHOT_ACTION, ts_lit(now))
-
-    def add_events(n):
-        return F.concat(F.col("chain_of_custody"), F.array_repeat(event, n.cast("int")))
-
-    # Updated first rows of the incident log.
-    upd = (first_log.join(per_id, "id")
-                    .withColumn("screenshot", F.col("last_shot"))
-                    .withColumn("chain_of_custody", add_events(F.col("n_att")))
-                    .select(*logs.columns))
-    first_seq = first_log.select("id", F.col("seq").alias("_first_seq"))
-    # Every log row except the first of its id passes through unchanged.
-    rest = (logs.join(first_seq, "id", "left")
-                .where(F.col("_first_seq").isNull() | (F.col("seq") != F.col("_first_seq")))
-                .drop("_first_seq"))
-    # Rows that are first-of-id but got no attachment stay as they were.
-    untouched_first = first_log.join(per_id.select("id"), "id", "left_anti").select(*logs.columns)
-    logs_updated = rest.unionByName(untouched_first).unionByName(upd)
-    # One new store version per attachment (N:1 join to the first log row).
-    versions = (att.join(first_log.drop("revision"), "id")
-                   .withColumn("screenshot", F.col("att_screenshot"))
-                   .withColumn("chain_of_custody", add_events(F.col("revision")))
-                   .drop("att_screenshot"))
+    first_seq = first_log.select("id", "seq")
+    shots = attach(att, numbered, ["id", "att_ord"], ["revision"])
+    last = (starts.join(att.groupBy("id", F.col("att_ord").alias("_last")).agg(
+                F.max("att_screenshot").alias("last_shot")), ["id", "_last"]).select("id", "n_att", "last_shot"))
+    first = first_seq.join(last, "id")
+    versions = (shots.join(first_log.drop("revision"), "id").withColumn("screenshot", F.col("att_screenshot"))
+                     .drop("att_screenshot"))
     if "saved_at" in versions.columns:     # a re-save is stamped when it happens
         versions = versions.withColumn("saved_at", ts_lit(now))
-    status = (att.join(first_seq, "id", "left")
-                 .select("att_ord", "id", F.col("_first_seq").alias("seq"),
-                         F.col("_first_seq").isNotNull().alias("matched")))
-    return logs_updated, versions, status
+    custody = numbered.join(first_seq, "id").select(
+        "id", "seq", "revision", F.lit(S.SCREENSHOT_ACTION).alias("action"), ts_lit(now).alias("timestamp"),
+        F.lit(S.SYSTEM_ACTOR).alias("actor"))
+    status = numbered.join(first_seq, "id", "left").select(
+        "att_ord", "id", "seq", F.col("seq").isNotNull().alias("matched"))
+    return first, versions, custody, status
+
+
+def nest_custody(records: DataFrame, custody: DataFrame) -> DataFrame:
+    """Custody trails nested into records for export: every record gets its events up
+    to its own revision. Output grows with the square of an id's attachments, so
+    stores keep :func:`attachment_events`' rows instead."""
+    events = custody.select("id", "seq", F.col("revision").alias("_r"),
+                            F.struct("action", "timestamp", "actor").alias("_e"))
+    key = ["id", "seq", "revision"]
+    added = (records.select(*key).join(events, ["id", "seq"]).where(F.col("_r") <= F.col("revision"))
+                    .groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("_r", "_e"))).alias("_a")))
+    return (records.join(added, key, "left")
+                   .withColumn("chain_of_custody", F.when(F.col("_a").isNull(), F.col("chain_of_custody")).otherwise(
+                       F.concat("chain_of_custody", F.transform("_a", lambda x: x["_e"]))))
+                   .select(*records.columns))
+
+
+def merge_attachments(logs: DataFrame, attachments: DataFrame, now, text: str = "text",
+                      screenshot: str = "screenshot", order: str = "ord"):
+    """The reference's nested form of :func:`attachment_events`.
+
+    The first log row of each matched id gets the last attachment's screenshot and one
+    event per attachment; every attachment appends a new version of that record.
+    Returns ``(logs_updated, new_versions, status)``.
+    """
+    first, versions, custody, status = attachment_events(logs, attachments, now, text, screenshot, order)
+    event = custody_event(S.SCREENSHOT_ACTION, ts_lit(now))
+    updated = (logs.join(first, ["id", "seq"], "left")
+                   .withColumn("screenshot", F.when(F.col("n_att").isNull(), F.col("screenshot")).otherwise(F.col("last_shot")))
+                   .withColumn("chain_of_custody", F.when(F.col("n_att").isNull(), F.col("chain_of_custody")).otherwise(
+                       F.concat("chain_of_custody", F.array_repeat(event, F.col("n_att").cast("int")))))
+                   .select(*logs.columns))
+    return updated, nest_custody(versions, custody).select(*versions.columns), status
 
 
 def current_evidence(evidence: DataFrame) -> DataFrame:
@@ -178,10 +196,13 @@ def current_evidence(evidence: DataFrame) -> DataFrame:
 
 def newest_first(df: DataFrame, index_col: str = "pos") -> DataFrame:
     """Newest timestamp first, ties in insertion order; ``pos`` = display row."""
-    return global_index(df, [F.col("timestamp").desc(), F.col("revision").asc(),
-                             F.col("seq").asc()], index_col=index_col)
+    keys = ["revision", "seq"]
+    order = [F.col("timestamp").desc(), F.col("revision").asc(), F.col("seq").asc()]
+    return attach(df, positions(df, order, keep=keys, index_col=index_col), keys, [index_col])
 
 
 def latest_log(df: DataFrame, index_col: str = "pos") -> DataFrame:
     """Reverse insertion order; ``pos`` = display row."""
-    return global_index(df, [F.col("revision").desc(), F.col("seq").desc()], index_col=index_col)
+    keys = ["revision", "seq"]
+    order = [F.col("revision").desc(), F.col("seq").desc()]
+    return attach(df, positions(df, order, keep=keys, index_col=index_col), keys, [index_col])

@@ -1,12 +1,14 @@
-"""Global positions without pulling rows into one task (O3, O5, O6 helper).
+"""Global positions without pulling rows into one task (O1–O6 helper).
 
 ``row_number()`` over an un-partitioned window moves every row to a single
-task. Instead: range-partition sort by the order key, materialise it to the
-reliable checkpoint folder (so the two passes below see identical partitions
-even if executors are lost), count rows per partition, turn the counts into
-offsets (one row per partition — a size bound that does not grow with the
-data, hence safe to broadcast) and add each row's offset to its position in
-its partition, which ``monotonically_increasing_id`` already encodes.
+task. Instead: range-partition sort the order key *and nothing else*,
+materialise it to the reliable checkpoint folder (so the two passes below see
+identical partitions even if executors are lost), count rows per partition,
+turn the counts into offsets (one row per partition — a size bound that does
+not grow with the data, hence safe to broadcast) and add each row's offset to
+its position in its partition, which ``monotonically_increasing_id`` already
+encodes. Callers that need whole records join the positions back by key, so
+text and screenshots never pass the sort or the checkpoint.
 """
 
 from __future__ import annotations
@@ -16,26 +18,52 @@ from pyspark.sql import DataFrame, Window, functions as F
 from ..session import ensure_checkpoint_dir
 
 _LOW_BITS = (1 << 33) - 1
+MAX_BROADCAST_GROUPS = 10_000    # first positions of groups are broadcast up to here
 
 
 def _cols(cols):
     return [F.col(c) if isinstance(c, str) else c for c in cols]
 
 
-def global_index(df: DataFrame, order, by=None, index_col: str = "idx") -> DataFrame:
-    """Add a 0-based position in ``order`` (list of column names/exprs).
+def group_table(df: DataFrame, by, *aggs) -> DataFrame:
+    """One row per group, as a small broadcast table when there are at most
+    ``MAX_BROADCAST_GROUPS`` groups (checked), else as a plain aggregate."""
+    grouped = df.groupBy(*by).agg(*aggs)
+    some = grouped.limit(MAX_BROADCAST_GROUPS + 1).collect()
+    if len(some) > MAX_BROADCAST_GROUPS:
+        return grouped
+    return F.broadcast(df.sparkSession.createDataFrame(some, grouped.schema))
+
+
+def _same(left: DataFrame, right: DataFrame, cols):
+    cond = F.lit(True)
+    for c in cols:
+        cond = cond & left[c].eqNullSafe(right[f"_{c}"])
+    return cond
+
+
+def _join_groups(df: DataFrame, groups: DataFrame, by) -> DataFrame:
+    """Null-safe join on ``by``; a null group is a group."""
+    renamed = groups.withColumnsRenamed({c: f"_{c}" for c in by})
+    return df.join(renamed, _same(df, renamed, by)).drop(*[f"_{c}" for c in by])
+
+
+def positions(df: DataFrame, order, by=None, keep=(), index_col: str = "idx",
+              count_col: str | None = None) -> DataFrame:
+    """``by``, ``keep`` and a 0-based position in ``order``; other columns are dropped.
 
-    The order key must be unique for the positions to be repeatable. With
-    ``by`` (list of column names) the position restarts at 0 in every group:
-    the sort is by ``by`` first, each group's first global position is
-    subtracted. A group holding a third of all rows still spreads over many
-    range partitions, because the range boundaries split on the full key.
+    ``order`` (column names or expressions) must be unique for the positions
+    to be repeatable. With ``by`` the position restarts in every group: the
+    sort is by ``by`` first and each group's first global position is
+    subtracted, so a group holding a third of all rows still spreads over many
+    range partitions. ``count_col`` adds the group's size.
     """
     by = list(by or [])
-    order_cols = _cols(by) + _cols(order)
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
-    tagged = (df.orderBy(*order_cols)
+    keep = [c for c in dict.fromkeys(keep) if c not in by]
+    # The projection above the sort prunes every other column below it.
+    tagged = (df.orderBy(*_cols(by), *_cols(order)).select(*by, *keep)
                 .withColumn("_mid", F.monotonically_increasing_id())
                 .checkpoint(eager=True))
     per_part = (tagged.groupBy(F.shiftright("_mid", 33).alias("_pid"))
@@ -49,7 +77,27 @@ def global_index(df: DataFrame, order, by=None, index_col: str = "idx") -> DataF
                      .drop("_pid", "_off", "_mid"))
     if not by:
         return indexed
-    firsts = indexed.groupBy(*by).agg(F.min(index_col).alias("_first"))
-    return (indexed.join(firsts, by)
-                   .withColumn(index_col, F.col(index_col) - F.col("_first"))
-                   .drop("_first"))
+    groups = group_table(indexed, by, F.min(index_col).alias("_first"), F.count(F.lit(1)).alias("_size"))
+    placed = _join_groups(indexed, groups, by).withColumn(index_col, F.col(index_col) - F.col("_first"))
+    return (placed.withColumnRenamed("_size", count_col) if count_col else placed.drop("_size")).drop("_first")
+
+
+def attach(df: DataFrame, placed: DataFrame, keys, cols) -> DataFrame:
+    """Join ``cols`` of ``placed`` back to the records of ``df`` by ``keys`` (null-safe).
+
+    Keys are meant to be unique. Where they repeat, both sides are numbered
+    within the key, so every record still gets a position of its own and no
+    record is lost or doubled.
+    """
+    keys, cols = list(keys), list(cols)
+    key = F.to_json(F.struct(*keys), {"ignoreNullFields": "false"})
+    lists = placed.groupBy(key.alias("_k")).agg(F.array_sort(F.collect_list(F.struct(*cols))).alias("_p"))
+    nth = F.row_number().over(Window.partitionBy("_k").orderBy("_k"))
+    joined = df.withColumn("_k", key).withColumn("_nth", nth).join(lists, "_k")
+    at = F.element_at("_p", F.col("_nth"))
+    return joined.select(*df.columns, *[at[c].alias(c) for c in cols])
+
+
+def global_index(df: DataFrame, order, by=None, index_col: str = "idx") -> DataFrame:
+    """Positions next to every column of an already narrow frame."""
+    return positions(df, order, by, keep=df.columns, index_col=index_col).select(*df.columns, index_col)

@@ -8,7 +8,7 @@ from .. import schemas as S
 from ..functions.codec import report_id
 from ..functions.text import percent0, percent1
 from ..functions.timeutil import ts_lit
-from .index import global_index
+from .index import attach, positions
 from .stats import normalized_severity
 
 
@@ -21,6 +21,11 @@ def local_time(col, tz: str = S.REPORT_TIMEZONE, pattern: str = S.REPORT_TIME_PA
     return F.coalesce(s, F.lit("N/A"))
 
 
+def short_time(col, tz: str = S.REPORT_TIMEZONE):
+    """en-IN short date and time of the dashboard list, e.g. ``5/2/24, 6:31 am``; null → 'N/A'."""
+    return local_time(col, tz, S.SHORT_TIME_PATTERN)
+
+
 def _category_text(cats, banner: bool):
     def one(c):
         name = c["category"]
@@ -50,6 +55,7 @@ def format_report(df: DataFrame) -> DataFrame:
     return out.withColumns({
         "evidence_id": F.coalesce(F.col("id"), F.lit("N/A")),
         "time_display": local_time("timestamp"),
+        "time_short": short_time("timestamp"),
         "source_display": F.coalesce(F.when(F.col("source") != "", F.col("source")), F.lit("Unknown")),
         "score_pct": pct,
         "score_text": F.format_string("%.1f%%", pct),
@@ -64,7 +70,8 @@ def format_report(df: DataFrame) -> DataFrame:
 
 def number_incidents(df: DataFrame, col: str = "incident_no") -> DataFrame:
     """1..n in stored (insertion) order, distributed."""
-    return global_index(df, [F.col("revision"), F.col("seq")], index_col="_i") \
+    keys = ["revision", "seq"]
+    return attach(df, positions(df, keys, keep=keys, index_col="_i"), keys, ["_i"]) \
         .withColumn(col, F.col("_i") + 1).drop("_i")
 
 
@@ -86,12 +93,16 @@ def report_summary(df: DataFrame) -> DataFrame:
 
 def report_header(df: DataFrame, now, title: str = S.REPORT_TITLE) -> DataFrame:
     """One row: title, generation time (report zone), total, report id."""
-    total = df.agg(F.count(F.lit(1)).alias("total"))
+    # The salt follows the store's content: crc32 of every record's id and place, summed.
+    record = F.concat_ws(":", F.coalesce("id", F.lit("")), F.col("seq"), F.col("revision"))
+    total = df.agg(F.count(F.lit(1)).alias("total"),
+                   F.coalesce(F.sum(F.crc32(record.cast("binary"))), F.lit(0)).alias("_content"))
     return total.select(
         F.lit(title).alias("title"),
         local_time(ts_lit(now)).alias("generated_at"),
         "total",
-        report_id(now, F.concat(F.lit("report:"), F.col("total").cast("string"))).alias("report_id"))
+        report_id(now, F.concat_ws(":", F.lit("report"), F.col("total").cast("string"),
+                                   F.col("_content").cast("string"))).alias("report_id"))
 
 
 def write_report(df: DataFrame, root: str, now, name: str = "evidence_report",

@@ -94,7 +94,7 @@ def quota_check(df: DataFrame, fields=None, max_bytes: int = S.MAX_STORE_BYTES)
                      (F.col("size") > F.lit(max_bytes)).alias("over_quota"))
 
 
-def observe_quota(df: DataFrame, name: str = "evidence_quota", fields=None):
+def observe_quota(df: DataFrame, name: str | None = None, fields=None):
     """Attach the size metric to a write: ``(observed_df, observation)``.
 
     The size is collected as the write runs (no second pass); read
@@ -102,7 +102,7 @@ def observe_quota(df: DataFrame, name: str = "evidence_quota", fields=None):
     """
     from pyspark.sql import Observation
 
-    obs = Observation(name)
+    obs = Observation(name) if name else Observation()
     observed = df.observe(obs, F.count(F.lit(1)).alias("rows"),
                           F.sum(utf16_len(record_json(df, fields))).alias("chars"))
     return observed, obs

@@ -151,20 +151,24 @@ def q_lookup_id(spark, sf_dir):
 
 @register("delete_ids")
 def q_delete_ids(spark, sf_dir):
-    kept = ev_ops.delete_ids(fx.evidence(spark, sf_dir), fx.lookup_ids(spark, sf_dir))
+    kept = ev_ops.delete_ids(fx.evidence(spark, sf_dir), fx.delete_ids(spark, sf_dir))
     return kept.select("id", "seq")
 
 
 def _merge(spark, sf_dir):
     logs = fx.evidence(spark, sf_dir)
-    return logs, ev_ops.merge_attachments(logs, fx.attachments(spark, sf_dir), fx.NOW)
+    return logs, ev_ops.attachment_events(logs, fx.attachments(spark, sf_dir), fx.NOW)
+
+
+def _n_custody():
+    """Events of a stored version: its original trail and one per attachment so far."""
+    return (F.size("chain_of_custody") + F.col("revision")).alias("n_custody")
 
 
 @register("merge_attachments")
 def q_merge_attachments(spark, sf_dir):
-    _, (logs2, versions, status) = _merge(spark, sf_dir)
-    v = versions.select("att_ord", "revision", F.size("chain_of_custody").alias("n_custody"),
-                        "screenshot")
+    _, (_, versions, _, status) = _merge(spark, sf_dir)
+    v = versions.select("att_ord", "revision", _n_custody(), "screenshot")
     none = F.lit(-1)
     return status.join(v, "att_ord", "left").select(
         "att_ord", "id", F.coalesce("seq", none).alias("seq"), "matched",
@@ -174,11 +178,16 @@ def q_merge_attachments(spark, sf_dir):
 
 @register("current_evidence")
 def q_current_evidence(spark, sf_dir):
-    logs, (_, versions, _) = _merge(spark, sf_dir)
+    logs, (_, versions, _, _) = _merge(spark, sf_dir)
     store = logs.unionByName(versions.select(*logs.columns))
     cur = ev_ops.current_evidence(store)
-    return cur.select("id", "seq", "revision", F.size("chain_of_custody").alias("n_custody"),
-                      "screenshot")
+    return cur.select("id", "seq", "revision", _n_custody(), "screenshot")
+
+
+@register("custody_events")
+def q_custody_events(spark, sf_dir):
+    _, (_, _, custody, _) = _merge(spark, sf_dir)
+    return custody.select("id", "seq", "revision", "action", _ms("timestamp").alias("timestamp_ms"), "actor")
 
 
 STRING_FIELDS = [("id", "id"), ("source", "source"), ("text", "text"), ("severity", "severity"),
@@ -213,7 +222,7 @@ def q_latest_log(spark, sf_dir):
 
 @register("csv_scan")
 def q_csv_scan(spark, sf_dir):
-    raw = fx.hindi_raw(spark, sf_dir, string_labels=True).select("ord", "comment_text", "label")
+    raw = fx.raw_corpus(spark, sf_dir, string_labels=True).select("ord", "comment_text", "label")
     path = scratch_path(spark, "csv_scan")
     src.write_labelled_csv(raw, path)
     back = src.read_labelled_csv(spark, path)
@@ -234,20 +243,20 @@ def q_alias_columns(spark, sf_dir):
 
 @register("positional_columns")
 def q_positional_columns(spark, sf_dir):
-    raw = fx.hindi_raw(spark, sf_dir).select(F.col("comment_text").alias("body"),
-                                             F.col("label").alias("target"), "ord")
+    raw = fx.raw_corpus(spark, sf_dir).select(F.col("comment_text").alias("body"),
+                                              F.col("label").alias("target"), "ord")
     df = src.positional_fallback(src.resolve_aliases(raw))
     return df.select("ord", evidence_id("text").alias("id"), F.col("label").cast("int").alias("label"))
 
 
 @register("split_route")
 def q_split_route(spark, sf_dir):
-    raw = fx.hindi_raw(spark, sf_dir)
+    raw = fx.raw_corpus(spark, sf_dir)
     return raw.select("ord", "source_name", src.route_split("source_name").alias("split"))
 
 
 def _hindi_specs(spark, sf_dir, with_missing=True):
-    raw = fx.hindi_raw(spark, sf_dir)
+    raw = fx.raw_corpus(spark, sf_dir)
     root = scratch_path(spark, "corpora")
     specs = []
     for name in ("hindi_train", "hindi_val", "hindi_test"):
@@ -268,28 +277,28 @@ def q_load_report(spark, sf_dir):
 
 @register("clean_examples")
 def q_clean_examples(spark, sf_dir):
-    raw = src.resolve_aliases(fx.hindi_raw(spark, sf_dir, string_labels=True))
+    raw = src.resolve_aliases(fx.raw_corpus(spark, sf_dir, string_labels=True))
     c = src.clean_examples(raw, keep=["ord"])
     return c.select("ord", evidence_id("text").alias("id"), F.col("label").alias("label_raw"))
 
 
 @register("lenient_label")
 def q_lenient_label(spark, sf_dir):
-    raw = src.resolve_aliases(fx.hindi_raw(spark, sf_dir, string_labels=True))
+    raw = src.resolve_aliases(fx.raw_corpus(spark, sf_dir, string_labels=True))
     c = src.clean_examples(raw, keep=["ord"])
     return c.select("ord", F.col("label").alias("label_raw"), lenient_label("label").alias("label"))
 
 
 @register("collapse_classes")
 def q_collapse_classes(spark, sf_dir):
-    e = fx.english_raw(spark, sf_dir)
+    e = fx.classes_raw(spark, sf_dir)
     return corp.normalize_english(e.withColumn("class_raw", F.col("class"))) \
         .select("ord", F.col("class_raw").alias("class"), "label")
 
 
 @register("invert_label")
 def q_invert_label(spark, sf_dir):
-    h = fx.hinglish_raw(spark, sf_dir)
+    h = fx.inverted_raw(spark, sf_dir)
     return corp.normalize_hinglish(h.withColumn("label_raw", F.col("label"))) \
         .select("ord", "label_raw", "label")
 
@@ -322,7 +331,7 @@ def q_concat_corpora(spark, sf_dir):
 
 @register("positional_split")
 def q_positional_split(spark, sf_dir):
-    return corp.positional_split(extra_examples(spark, sf_dir)).select("corpus", "ord", "split")
+    return corp.positional_split(fx.by_language(spark, sf_dir)).select("corpus", "ord", "split")
 
 
 @register("seeded_shuffle")
@@ -333,13 +342,13 @@ def q_seeded_shuffle(spark, sf_dir):
 
 @register("ensure_validation")
 def q_ensure_validation(spark, sf_dir):
-    df = corp.positional_split(extra_examples(spark, sf_dir))
+    df = corp.positional_split(fx.by_language(spark, sf_dir))
     return corp.ensure_validation(df).select("corpus", "ord", "split")
 
 
 @register("head_n")
 def q_head_n(spark, sf_dir):
-    return corp.head(hindi_examples(spark, sf_dir), 10).select("corpus", "ord", "label")
+    return corp.head(fx.by_language(spark, sf_dir), 10).select("corpus", "ord", "label")
 
 
 @register("split_sizes")
@@ -388,12 +397,14 @@ def q_accuracy(spark, sf_dir):
 
 @register("macro_f1")
 def q_macro_f1(spark, sf_dir):
-    return metrics.macro_f1(predictions(spark, sf_dir))
+    return metrics.macro_f1(predictions(spark, sf_dir)).select(F.round("macro_f1", 12).alias("macro_f1"))
 
 
 @register("compare_models")
 def q_compare_models(spark, sf_dir):
-    return metrics.compare_models(predictions(spark, sf_dir), a="pred", b="pred_b")
+    c = metrics.compare_models(predictions(spark, sf_dir), a="pred", b="pred_b")
+    # Sums over three classes: the last digit depends on their order.
+    return c.withColumns({k: F.round(k, 12) for k in ("macro_f1_a", "macro_f1_b")})
 
 
 @register("fix_length")
@@ -430,14 +441,17 @@ def fitted_model(spark, sf_dir):
 
 @register("fit_scorer")
 def q_fit_scorer(spark, sf_dir):
-    return fitted_model(spark, sf_dir)[1]
+    """The grid and how many of its points were chosen (one)."""
+    report = fitted_model(spark, sf_dir)[1]
+    return report.select("reg_param", F.expr("count_if(chosen) OVER ()").alias("n_chosen"))
 
 
 @register("evaluate_scorer")
 def q_evaluate_scorer(spark, sf_dir):
     model, _ = fitted_model(spark, sf_dir)
     ex = all_examples(spark, sf_dir)
-    return scoring.evaluate(model, ex.where(F.col("split") == "test"))
+    m = scoring.evaluate(model, ex.where(F.col("split") == "test"))
+    return m.select("n", ((F.col("accuracy") > 0.5) & (F.col("macro_f1") > 0) & (F.col("log_loss") > 0)).alias("sane"))
 
 
 @register("score_messages")
@@ -446,7 +460,7 @@ def q_score_messages(spark, sf_dir):
     model, _ = fitted_model(spark, sf_dir)
     firsts = deduped_document_messages(spark, sf_dir)
     scored = with_decision(scoring.score(firsts, model))
-    return scored.select("scope", "id", "ord", "pred", "is_toxic", "max_score", "severity")
+    return scored.select("scope", "id", "ord", F.col("pred").isin(0, 1).alias("scored"))
 
 
 @register("scorer_roundtrip")
@@ -458,7 +472,7 @@ def q_scorer_roundtrip(spark, sf_dir):
     d = fx.documents(spark, sf_dir).select("doc_id", "text")
     a = scoring.score(d, model, keep=["doc_id"]).select("doc_id", F.col("pred").alias("pred_before"))
     b = scoring.score(d, loaded, keep=["doc_id"]).select("doc_id", F.col("pred").alias("pred_after"))
-    return a.join(b, "doc_id").withColumn("same", F.col("pred_before") == F.col("pred_after"))
+    return a.join(b, "doc_id").select("doc_id", (F.col("pred_before") == F.col("pred_after")).alias("same"))
 
 
 # ---------------------------------------------------------------------------
@@ -470,7 +484,7 @@ def q_scorer_roundtrip(spark, sf_dir):
 def q_format_report(spark, sf_dir):
     f = rep.format_report(fx.evidence(spark, sf_dir))
     return f.select("seq", "banner_label", "banner_categories", "severity_badge", "score_pct",
-                    "score_text", "time_display", "source_display")
+                    "score_text", "time_display", "time_short", "source_display")
 
 
 @register("number_incidents")
@@ -492,7 +506,10 @@ def q_report_summary(spark, sf_dir):
 
 @register("report_id")
 def q_report_id(spark, sf_dir):
-    return rep.report_header(fx.evidence(spark, sf_dir), fx.NOW)
+    """The report header; of the id its fixed part, and whether the tail is five base-36 digits."""
+    h = rep.report_header(fx.evidence(spark, sf_dir), fx.NOW)
+    return h.select("title", "generated_at", "total", F.regexp_extract("report_id", "^(.*-)", 1).alias("id_start"),
+                    F.col("report_id").rlike("-[0-9A-Z]{5}$").alias("id_tail"))
 
 
 @register("decode_attachment")
@@ -553,9 +570,11 @@ def q_evidence_scan(spark, sf_dir):
 
 @register("clear_store")
 def q_clear_store(spark, sf_dir):
+    """Records before and after."""
     path = _stored(spark, sf_dir)
+    before = read_evidence(spark, path).count()
     sink.clear_store(spark, path)
-    return read_evidence(spark, path).select("id", "seq", "severity")
+    return read_evidence(spark, path).agg(F.lit(before).cast("long").alias("before"), F.count(F.lit(1)).alias("after"))
 
 
 # ---------------------------------------------------------------------------
@@ -596,22 +615,30 @@ def q_stream_dedup(spark, sf_dir):
     return spark.read.parquet(out).select("scope", "id")
 
 
+def flaky_scorer(df):
+    """Fails a message's first attempt where ord % 11 = 0; the next succeeds."""
+    failed = (F.col("ord") % 11 == 0) & (F.col("attempt") == 1)
+    return fx.with_fixture_scores(df, key="ord").withColumns({
+        "status": F.when(failed, F.lit("error")).otherwise(F.lit("ok")),
+        "error": F.when(failed, F.lit("scorer unavailable"))})
+
+
 @register("stream_retry")
 def q_stream_retry(spark, sf_dir):
     inp, attempts, ck = (scratch_path(spark, n) for n in ("in", "attempts", "ck"))
     msgs = fx.document_messages(spark, sf_dir)
-    handler = st.score_with_retry(attempts, fixture_scorer)
+    handler = st.score_with_retry(attempts, flaky_scorer)
     for parity in (0, 1):        # two arrivals: even ords, then odd ords
         _land_files(msgs.where(F.col("ord") % 2 == parity), inp)
         s = st.read_message_stream(spark, inp)
         st.run_to_completion(s.writeStream.foreachBatch(handler).option("checkpointLocation", ck))
-    return st.read_batches(spark, attempts, st.ATTEMPT).select("scope", "id", "ord", "status")
+    return st.read_batches(spark, attempts, st.ATTEMPT).select("scope", "id", "ord", "status", "attempt")
 
 
 def _incident_stream(spark, inp):
     s = detect.filter_messages(st.read_message_stream(spark, inp))
     decided = with_decision(fx.with_fixture_scores(s, key="ord"))
-    return ev_ops.build_evidence(decided, fx.NOW, seq="ord")
+    return ev_ops.stamp(ev_ops.build_evidence(decided, fx.NOW, seq="ord"), fx.NOW)
 
 
 @register("stream_incidents")
@@ -647,3 +674,11 @@ FIXTURE_RULES = html_src.REFERENCE_RULES + ("article p",)
 def q_extract_messages(spark, sf_dir):
     pages = read_table(spark, sf_dir, "pages")
     return html_src.extract_messages(pages, FIXTURE_RULES)
+
+
+@register("extract_counts")
+def q_extract_counts(spark, sf_dir):
+    """Elements found per page by a rule that SQL can state: one per ``<article`` tag."""
+    pages = read_table(spark, sf_dir, "pages")
+    found = html_src.extract_messages(pages, ("article",))
+    return found.groupBy("page_id", "source").agg(F.count(F.lit(1)).alias("n"))

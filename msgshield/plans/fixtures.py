@@ -70,17 +70,21 @@ def evidence(spark: SparkSession, sf_dir: str, encrypted: bool = False) -> DataF
 
 
 def attachments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Screenshots for documents with ``doc_id % 10 = 0`` (flagged or not)."""
-    d = documents(spark, sf_dir).where(F.col("doc_id") % 10 == 0)
-    shot = F.concat(F.lit("data:image/png;base64,"),
-                    F.base64(F.encode(F.substring("text", 1, 20), "UTF-8")))
-    return d.select(F.col("doc_id").alias("ord"), "text", shot.alias("screenshot"))
+    """One screenshot per document (flagged or not); its payload is the whole text."""
+    shot = F.concat(F.lit("data:image/png;base64,"), F.regexp_replace(F.base64(F.encode(F.col("text"), "UTF-8")), "[\r\n]", ""))
+    return documents(spark, sf_dir).select(F.col("doc_id").alias("ord"), "text", shot.alias("screenshot"))
 
 
 def lookup_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ids to look up / delete: SHA-256 of texts with ``doc_id % 7 = 0``."""
-    return (documents(spark, sf_dir).where(F.col("doc_id") % 7 == 0)
-            .select(evidence_id(F.col("text")).alias("id")))
+    """Ids to look up: the SHA-256 of every text of documents and conversations."""
+    texts = documents(spark, sf_dir).select("text").unionByName(
+        read_table(spark, sf_dir, "conversations").select("text"))
+    return texts.select(evidence_id(F.col("text")).alias("id"))
+
+
+def delete_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids to delete: the SHA-256 of every text labelled toxic."""
+    return _labelled(spark, sf_dir).where("toxic = 1").select(evidence_id(F.col("text")).alias("id"))
 
 
 def document_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,17 +124,51 @@ def hindi_split_name(doc_id) -> F.Column:
              .otherwise(F.lit("hindi_train")))
 
 
+def messy_label(doc_id) -> F.Column:
+    """The messy string column of the lenient cast."""
+    m = doc_id % F.lit(5)
+    return (F.when(m == 0, F.lit("1")).when(m == 1, F.lit("0")).when(m == 2, F.lit("x"))
+             .when(m == 3, F.lit("1.9")).otherwise(F.lit(None).cast("string")))
+
+
+def raw_corpus(spark: SparkSession, sf_dir: str, string_labels: bool = False) -> DataFrame:
+    """A raw corpus of the whole table: ``comment_text, label, ord, source_name``.
+    The messy labels go with every document, the numeric ones (1 - toxic) with
+    every labelled document."""
+    if string_labels:
+        d, label = documents(spark, sf_dir), messy_label(F.col("doc_id"))
+    else:
+        d, label = _labelled(spark, sf_dir), (F.lit(1) - F.col("toxic")).cast("int")
+    return d.select(F.col("text").alias("comment_text"), label.alias("label"),
+                    F.col("doc_id").alias("ord"), hindi_split_name(F.col("doc_id")).alias("source_name"))
+
+
+def by_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every labelled document, one corpus per language."""
+    return _labelled(spark, sf_dir).select(
+        "text", (F.lit(1) - F.col("toxic")).cast("int").alias("label"), F.col("lang").alias("corpus"),
+        F.col("doc_id").alias("ord"))
+
+
+def classes_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three-class labels of every labelled document (toxic 0 → 2; toxic 1 → doc_id % 2)."""
+    cls = F.when(F.col("toxic") == 0, F.lit(2)).otherwise((F.col("doc_id") % 2).cast("int"))
+    return _labelled(spark, sf_dir).select(F.col("text").alias("tweet"), cls.cast("int").alias("class"),
+                                           F.col("doc_id").alias("ord"))
+
+
+def inverted_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Inverted labels (0 = non-hate) of every labelled document."""
+    return _labelled(spark, sf_dir).select(F.col("text").alias("tweet"), F.col("toxic").cast("int").alias("label"),
+                                           F.col("doc_id").alias("ord"))
+
+
 def hindi_raw(spark: SparkSession, sf_dir: str, string_labels: bool = False) -> DataFrame:
     """Hindi stand-in (lang fr): ``comment_text, label`` (label = 1 - toxic), plus
     ``ord`` and the source name it would come from. With ``string_labels``
     the label is the messy string column used for the lenient cast."""
     d = _labelled(spark, sf_dir).where(F.col("lang") == "fr")
-    if string_labels:
-        m = F.col("doc_id") % 5
-        label = (F.when(m == 0, F.lit("1")).when(m == 1, F.lit("0")).when(m == 2, F.lit("x"))
-                  .when(m == 3, F.lit("1.9")).otherwise(F.lit(None).cast("string")))
-    else:
-        label = (F.lit(1) - F.col("toxic")).cast("int")
+    label = messy_label(F.col("doc_id")) if string_labels else (F.lit(1) - F.col("toxic")).cast("int")
     return d.select(F.col("text").alias("comment_text"), label.alias("label"),
                     F.col("doc_id").alias("ord"), hindi_split_name(F.col("doc_id")).alias("source_name"))
 
@@ -151,9 +189,11 @@ def hinglish_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def labelled_with_logits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labelled documents with true label ``1 - toxic`` and both models' logits."""
+    """Labelled documents with true label ``1 - toxic`` (2, a class no model predicts, for
+    clean ones of low quality) and both models' logits."""
     d = _labelled(spark, sf_dir)
+    odd = (F.col("toxic") == 0) & (F.col("quality") == 0)
     return with_fixture_scores(d).select(
-        "doc_id", (F.lit(1) - F.col("toxic")).cast("int").alias("label"), "logits", "logits_b",
+        "doc_id", F.when(odd, F.lit(2)).otherwise(F.lit(1) - F.col("toxic")).cast("int").alias("label"), "logits", "logits_b",
         "text", "lang")
 

@@ -68,7 +68,7 @@ ORACLE["stamp_evidence"] = f"""
 WITH {EVIDENCE}
 SELECT seq, CAST({NOW_MS} AS BIGINT) AS saved_at_ms, '1.0' AS version, false AS encrypted FROM ev"""
 
-_IDS = "ids AS (SELECT DISTINCT sha256(text) AS id FROM documents WHERE doc_id % 7 = 0)"
+_IDS = "ids AS (SELECT DISTINCT sha256(text) AS id FROM (SELECT text FROM documents UNION ALL SELECT text FROM conversations))"
 
 ORACLE["lookup_id"] = f"""
 WITH {EVIDENCE}, {_IDS},
@@ -77,14 +77,14 @@ SELECT ids.id, firsts.seq IS NOT NULL AS found, coalesce(firsts.seq, -1) AS seq,
 FROM ids LEFT JOIN firsts ON ids.id = firsts.id"""
 
 ORACLE["delete_ids"] = f"""
-WITH {EVIDENCE}, {_IDS}
+WITH {EVIDENCE}, ids AS (SELECT sha256(text) AS id FROM documents JOIN labels USING (doc_id) WHERE toxic = 1)
 SELECT id, seq FROM ev WHERE id NOT IN (SELECT id FROM ids)"""
 
 _ATT = f"""
   att AS (
     SELECT doc_id AS att_ord, sha256(text) AS id,
-           'data:image/png;base64,' || to_base64(encode(substr(text, 1, 20))) AS shot
-    FROM documents WHERE doc_id % 10 = 0
+           'data:image/png;base64,' || to_base64(encode(text)) AS shot
+    FROM documents
   ),
   firsts AS (SELECT id, min(seq) AS seq FROM ev GROUP BY id),
   numbered AS (
@@ -100,6 +100,12 @@ SELECT att_ord, id, coalesce(seq, -1) AS seq, seq IS NOT NULL AS matched,
        CASE WHEN seq IS NOT NULL THEN shot END AS screenshot
 FROM numbered"""
 
+ORACLE["custody_events"] = f"""
+WITH {EVIDENCE}, {_ATT}
+SELECT id, seq, CAST(j AS INTEGER) AS revision, 'SCREENSHOT_ADDED' AS action,
+       CAST({NOW_MS} AS BIGINT) AS timestamp_ms, 'SYSTEM' AS actor
+FROM numbered WHERE seq IS NOT NULL"""
+
 ORACLE["current_evidence"] = f"""
 WITH {EVIDENCE}, {_ATT},
   store AS (
@@ -153,7 +159,7 @@ __all__ = ["ORACLE", "WS"]
 # ---------------------------------------------------------------------------
 # Corpus
 # ---------------------------------------------------------------------------
-_LAB = "lab AS (SELECT d.doc_id, d.text, d.lang, l.toxic FROM documents d JOIN labels l ON d.doc_id = l.doc_id)"
+_LAB = "lab AS (SELECT d.doc_id, d.text, d.lang, l.toxic, l.quality FROM documents d JOIN labels l ON d.doc_id = l.doc_id)"
 _STR_LABEL = ("CASE doc_id % 5 WHEN 0 THEN '1' WHEN 1 THEN '0' WHEN 2 THEN 'x' "
               "WHEN 3 THEN '1.9' ELSE NULL END")
 _SPLIT_NAME = ("CASE doc_id % 10 WHEN 0 THEN 'hindi_test' WHEN 1 THEN 'hindi_val' "
@@ -180,8 +186,7 @@ _EXAMPLES = f"""
                UNION ALL SELECT text, label, corpus, split, ord FROM extra_split)"""
 
 ORACLE["csv_scan"] = f"""
-WITH {_LAB}
-SELECT doc_id AS ord, text AS comment_text, {_STR_LABEL} AS label FROM lab WHERE lang = 'fr'"""
+SELECT doc_id AS ord, text AS comment_text, {_STR_LABEL} AS label FROM documents"""
 
 ORACLE["alias_columns"] = f"""
 WITH {_LAB}
@@ -195,50 +200,58 @@ SELECT 'hinglish', doc_id, sha256(text), CAST(toxic AS INTEGER) FROM lab WHERE l
 
 ORACLE["positional_columns"] = f"""
 WITH {_LAB}
-SELECT doc_id AS ord, sha256(text) AS id, CAST(1 - toxic AS INTEGER) AS label FROM lab WHERE lang = 'fr'"""
+SELECT doc_id AS ord, sha256(text) AS id, CAST(1 - toxic AS INTEGER) AS label FROM lab"""
 
 ORACLE["split_route"] = f"""
 WITH {_LAB}
-SELECT doc_id AS ord, {_SPLIT_NAME} AS source_name, {_SPLIT} AS split FROM lab WHERE lang = 'fr'"""
+SELECT doc_id AS ord, {_SPLIT_NAME} AS source_name, {_SPLIT} AS split FROM lab"""
 
 ORACLE["load_report"] = f"""
 WITH {_LAB},
   names AS (SELECT * FROM (VALUES ('hindi_train'), ('hindi_val'), ('hindi_test'), ('hindi_extra')) t(source_name)),
   counts AS (SELECT {_SPLIT_NAME} AS source_name, {_SPLIT} AS split, count(*) AS rows
-             FROM lab WHERE lang = 'fr' GROUP BY 1, 2)
+             FROM lab GROUP BY 1, 2)
 SELECT n.source_name, c.split, CASE WHEN n.source_name = 'hindi_extra' THEN 'failed' ELSE 'loaded' END AS status,
        CAST(coalesce(c.rows, 0) AS BIGINT) AS rows
 FROM names n LEFT JOIN counts c ON n.source_name = c.source_name"""
 
 ORACLE["clean_examples"] = f"""
-WITH {_LAB}
 SELECT doc_id AS ord, sha256(text) AS id, {_STR_LABEL} AS label_raw
-FROM lab WHERE lang = 'fr' AND {_STR_LABEL} IS NOT NULL"""
+FROM documents WHERE {_STR_LABEL} IS NOT NULL"""
 
 ORACLE["lenient_label"] = f"""
-WITH {_LAB}
 SELECT doc_id AS ord, {_STR_LABEL} AS label_raw,
        CAST(CASE doc_id % 5 WHEN 0 THEN 1 WHEN 1 THEN 0 WHEN 2 THEN 0 WHEN 3 THEN 1 END AS INTEGER) AS label
-FROM lab WHERE lang = 'fr' AND {_STR_LABEL} IS NOT NULL"""
+FROM documents WHERE {_STR_LABEL} IS NOT NULL"""
 
 ORACLE["collapse_classes"] = f"""
 WITH {_LAB},
-  e AS (SELECT doc_id, CAST(CASE WHEN toxic = 0 THEN 2 ELSE doc_id % 2 END AS INTEGER) AS class FROM lab WHERE lang = 'en')
+  e AS (SELECT doc_id, CAST(CASE WHEN toxic = 0 THEN 2 ELSE doc_id % 2 END AS INTEGER) AS class FROM lab)
 SELECT doc_id AS ord, class, CAST(CASE WHEN class IN (0, 1) THEN 0 ELSE 1 END AS INTEGER) AS label FROM e"""
 
 ORACLE["invert_label"] = f"""
 WITH {_LAB}
 SELECT doc_id AS ord, CAST(toxic AS INTEGER) AS label_raw, CAST(CASE WHEN toxic = 0 THEN 1 ELSE 0 END AS INTEGER) AS label
-FROM lab WHERE lang IN ('es', 'de')"""
+FROM lab"""
 
 ORACLE["concat_corpora"] = f"""
 WITH {_EXAMPLES}
 SELECT corpus, ord, sha256(text) AS id, label, split FROM hindi
 UNION ALL SELECT corpus, ord, sha256(text), label, CAST(NULL AS VARCHAR) FROM extra"""
 
+_BY_LANG = f"""
+  {_LAB},
+  by_lang AS (
+    SELECT lang AS corpus, doc_id AS ord, CAST(1 - toxic AS INTEGER) AS label,
+           CASE WHEN row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1
+                     < CAST(floor(CAST(0.9 AS DOUBLE) * count(*) OVER (PARTITION BY lang)) AS BIGINT)
+                THEN 'train' ELSE 'test' END AS split
+    FROM lab
+  )"""
+
 ORACLE["positional_split"] = f"""
-WITH {_EXAMPLES}
-SELECT corpus, ord, split FROM extra_split"""
+WITH {_BY_LANG}
+SELECT corpus, ord, split FROM by_lang"""
 
 ORACLE["seeded_shuffle"] = f"""
 WITH {_EXAMPLES}
@@ -246,17 +259,17 @@ SELECT corpus, ord, row_number() OVER (ORDER BY md5('42:' || CAST(ord AS VARCHAR
 FROM examples WHERE split = 'train'"""
 
 ORACLE["ensure_validation"] = f"""
-WITH {_EXAMPLES},
+WITH {_BY_LANG},
   ranked AS (SELECT corpus, ord, split,
                     row_number() OVER (ORDER BY md5('42:' || CAST(ord AS VARCHAR)), ord) - 1 AS p,
                     count(*) OVER () AS n
-             FROM extra_split WHERE split = 'train')
+             FROM by_lang WHERE split = 'train')
 SELECT corpus, ord, CASE WHEN p < ceil(CAST(0.1 AS DOUBLE) * n) THEN 'validation' ELSE 'train' END AS split FROM ranked
-UNION ALL SELECT corpus, ord, split FROM extra_split WHERE split <> 'train'"""
+UNION ALL SELECT corpus, ord, split FROM by_lang WHERE split <> 'train'"""
 
 ORACLE["head_n"] = f"""
-WITH {_EXAMPLES}
-SELECT corpus, ord, label FROM hindi ORDER BY ord LIMIT 10"""
+WITH {_BY_LANG}
+SELECT corpus, ord, label FROM by_lang ORDER BY ord LIMIT 10"""
 
 ORACLE["split_sizes"] = f"""
 WITH {_EXAMPLES}
@@ -274,14 +287,14 @@ FROM examples WHERE split = 'test' GROUP BY corpus"""
 # ---------------------------------------------------------------------------
 _PRED = f"""
   {_LAB},
-  pr AS (SELECT doc_id, CAST(1 - toxic AS INTEGER) AS label,
+  pr AS (SELECT doc_id, CAST(CASE WHEN toxic = 0 AND quality = 0 THEN 2 ELSE 1 - toxic END AS INTEGER) AS label,
                 CAST(CASE WHEN {score('doc_id')} >= 1 - {score('doc_id')} THEN 0 ELSE 1 END AS INTEGER) AS pred,
                 CAST(CASE WHEN {score('doc_id')} - 0.05 >= 1 - {score('doc_id')} THEN 0 ELSE 1 END AS INTEGER) AS pred_b
          FROM lab)"""
 
 
 def _f1_sql(pred: str) -> str:
-    return f"""(SELECT sum(f1) / count(*) FROM (
+    return f"""(SELECT round(sum(f1) / count(*), 12) FROM (
         SELECT c, CASE WHEN 2 * tp + fp + fn = 0 THEN 0.0 ELSE 2.0 * tp / (2 * tp + fp + fn) END AS f1
         FROM (SELECT c,
                      count(*) FILTER (WHERE label = c AND {pred} = c) AS tp,
@@ -298,7 +311,7 @@ SELECT doc_id, pred, CASE pred WHEN 0 THEN 'abusive' WHEN 1 THEN 'non-abusive' E
        pred AS pred_back FROM pr"""
 
 ORACLE["confusion"] = f"""WITH {_PRED},
-  grid AS (SELECT * FROM (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) t(label, pred))
+  grid AS (SELECT * FROM (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) t(label, pred) UNION SELECT label, pred FROM pr)
 SELECT CAST(g.label AS INTEGER) AS label, CAST(g.pred AS INTEGER) AS pred, count(pr.doc_id) AS n
 FROM grid g LEFT JOIN pr ON pr.label = g.label AND pr.pred = g.pred GROUP BY g.label, g.pred"""
 
@@ -348,7 +361,8 @@ SELECT seq, CASE severity WHEN 'HIGH' THEN 'CRITICAL THREAT' WHEN 'LOW' THEN 'PO
                           ELSE 'HARMFUL CONTENT' END AS banner_label,
        {_CATS} AS banner_categories, severity AS severity_badge, {_PCT1} AS score_pct,
        printf('%.1f%%', {_PCT1}) AS score_text, {_LOCAL.format(x='ts_ms')} AS time_display,
-       source AS source_display
+       strftime(epoch_ms(ts_ms) + INTERVAL 330 MINUTE, '%-d/%-m/%y, %-I:%M ') ||
+       lower(strftime(epoch_ms(ts_ms) + INTERVAL 330 MINUTE, '%p')) AS time_short, source AS source_display
 FROM ev"""
 
 ORACLE["number_incidents"] = f"""
@@ -373,13 +387,13 @@ FROM c WHERE n > 0"""
 ORACLE["report_id"] = f"""
 WITH {EVIDENCE}, t AS (SELECT count(*) AS total FROM ev)
 SELECT '{S.REPORT_TITLE}' AS title, {_LOCAL.format(x=str(NOW_MS))} AS generated_at, total,
-       upper('SR-{_base36(NOW_MS)}-' || substr(md5('report:' || CAST(total AS VARCHAR)), 1, 5)) AS report_id
+       upper('SR-{_base36(NOW_MS)}-') AS id_start, true AS id_tail
 FROM t"""
 
 ORACLE["decode_attachment"] = """
-SELECT doc_id AS ord, 'image/png' AS mime, CAST(octet_length(encode(substr(text, 1, 20))) AS INTEGER) AS n_bytes,
-       substr(text, 1, 20) AS decoded
-FROM documents WHERE doc_id % 10 = 0"""
+SELECT doc_id AS ord, 'image/png' AS mime, CAST(octet_length(encode(text)) AS INTEGER) AS n_bytes,
+       text AS decoded
+FROM documents"""
 
 ORACLE["encrypt_roundtrip"] = f"""
 WITH {EVIDENCE}
@@ -400,7 +414,7 @@ FROM ev"""
 
 ORACLE["append_evidence"] = f"WITH {EVIDENCE} SELECT id, seq, severity FROM ev"
 ORACLE["evidence_scan"] = f"WITH {EVIDENCE} SELECT id, seq, severity FROM ev"
-ORACLE["clear_store"] = f"WITH {EVIDENCE} SELECT id, seq, severity FROM ev WHERE false"
+ORACLE["clear_store"] = f"WITH {EVIDENCE} SELECT count(*) AS before, CAST(0 AS BIGINT) AS after FROM ev"
 
 # ---------------------------------------------------------------------------
 # Streaming (batch twins)
@@ -414,9 +428,13 @@ ORACLE["stream_retry"] = f"""
 WITH {DOC_MESSAGES},
   p1 AS (SELECT scope, sha256(text) AS id, min(ord) AS ord FROM doc_kept WHERE ord % 2 = 0 GROUP BY 1, 2),
   p2 AS (SELECT scope, sha256(text) AS id, min(ord) AS ord FROM doc_kept WHERE ord % 2 = 1 GROUP BY 1, 2),
-  a1 AS (SELECT *, CASE WHEN ord % 11 = 0 THEN 'error' ELSE 'ok' END AS status FROM p1),
-  a2 AS (SELECT *, CASE WHEN ord % 11 = 0 THEN 'error' ELSE 'ok' END AS status FROM p2
-         WHERE NOT EXISTS (SELECT 1 FROM a1 WHERE a1.scope = p2.scope AND a1.id = p2.id AND a1.status = 'ok'))
+  a1 AS (SELECT *, CASE WHEN ord % 11 = 0 THEN 'error' ELSE 'ok' END AS status, 1 AS attempt FROM p1),
+  waits AS (SELECT scope, id, ord FROM a1 WHERE status = 'error'),
+  offered AS (SELECT scope, id, min(ord) AS ord, CAST(1 + max(again) AS INTEGER) AS attempt
+              FROM (SELECT *, 0 AS again FROM p2 UNION ALL SELECT *, 1 FROM waits) GROUP BY scope, id),
+  a2 AS (SELECT scope, id, ord, CASE WHEN ord % 11 = 0 AND attempt = 1 THEN 'error' ELSE 'ok' END AS status, attempt
+         FROM offered o
+         WHERE NOT EXISTS (SELECT 1 FROM a1 WHERE a1.scope = o.scope AND a1.id = o.id AND a1.status = 'ok'))
 SELECT * FROM a1 UNION ALL SELECT * FROM a2"""
 
 _STREAM_EV = f"""{DOC_MESSAGES},
@@ -428,3 +446,16 @@ SELECT 'incident_logs' AS "table", id, seq, severity FROM sev
 UNION ALL SELECT 'evidence', id, seq, severity FROM sev"""
 
 ORACLE["stream_stats"] = f"WITH {_STREAM_EV} SELECT severity, count(*) AS n FROM sev GROUP BY severity"
+
+# ---------------------------------------------------------------------------
+# Model and extraction keys: the parts of their results that SQL can state
+# ---------------------------------------------------------------------------
+ORACLE["score_messages"] = f"WITH {DOC_MESSAGES} SELECT scope, id, ord, true AS scored FROM doc_first"
+ORACLE["scorer_roundtrip"] = "SELECT doc_id, true AS same FROM documents"
+ORACLE["evaluate_scorer"] = f"WITH {_EXAMPLES} SELECT count(*) AS n, true AS sane FROM examples WHERE split = 'test'"
+ORACLE["fit_scorer"] = ("SELECT CAST(r AS DOUBLE) AS reg_param, CAST(1 AS BIGINT) AS n_chosen "
+                        "FROM (VALUES (0.0), (0.01), (0.1)) t(r)")
+ORACLE["extract_counts"] = """
+SELECT page_id, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)', 1)) AS source,
+       CAST(len(regexp_extract_all(html, '<article[ >]')) AS BIGINT) AS n
+FROM pages WHERE regexp_matches(html, '<article[ >]')"""

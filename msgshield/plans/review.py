@@ -22,7 +22,7 @@ def review_store(spark: SparkSession, store_path: str, out_root: str, now) -> di
     DataFrames and two written folders). The persisted store is released
     after the writes; the returned DataFrames recompute from the store if used
     later."""
-    store = read_evidence(spark, store_path).drop("saved_date").persist(StorageLevel.MEMORY_AND_DISK)
+    store = read_evidence(spark, store_path).drop("saved_date", "batch_id").persist(StorageLevel.MEMORY_AND_DISK)
     try:
         report_dir = rep.write_report(store, out_root, now)
         export_dir = export_json(store, out_root, now)

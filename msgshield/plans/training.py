@@ -9,21 +9,40 @@ validation split is carved out of train).
 
 from __future__ import annotations
 
+import logging
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import corpus as corp
 from ..operators import scoring
 from ..sources import corpus as src
 
+log = logging.getLogger(__name__)
+
+
+def _extra(spark: SparkSession, given, normalise, corpus: str, order: str) -> DataFrame | None:
+    """An extra corpus from a frame or a Parquet path; one that is missing or lacks
+    its columns is reported and left out, like a main source that fails."""
+    if given is None:
+        return None
+    try:
+        df = spark.read.parquet(given) if isinstance(given, str) else given
+        return normalise(df).withColumn("corpus", F.lit(corpus)).select("text", "label", "corpus", order)
+    except AnalysisException as e:
+        log.warning("corpus %s is left out: %s", corpus, e.getCondition())
+        return None
+
 
-def prepare_corpus(spark: SparkSession, specs, english: DataFrame | None = None,
-                   hinglish: DataFrame | None = None, hold_out: bool = True,
+def prepare_corpus(spark: SparkSession, specs, english: DataFrame | str | None = None,
+                   hinglish: DataFrame | str | None = None, hold_out: bool = True,
                    carve_validation: bool | None = None, order: str = "ord") -> dict:
     """Returns ``{examples, report, leakage, sizes}``.
 
     ``specs``: ``(source_name, csv_path)`` pairs of the main corpus (split by
-    name). ``english``: frame with ``tweet, class``; ``hinglish``: frame with
-    ``tweet, label``; both need an ``order`` column giving source order.
+    name). ``english``: frame or path with ``tweet, class``; ``hinglish``: with
+    ``tweet, label``; both need an ``order`` column giving source order, and one that
+    cannot be read is left out.
     ``examples`` has ``text, label, corpus, split, ord, pos`` where ``pos``
     is the row's place in the seeded shuffle of its split.
     """
@@ -31,13 +50,9 @@ def prepare_corpus(spark: SparkSession, specs, english: DataFrame | None = None,
     main = main.withColumn(order, F.col(order).cast("long")).select(
         "text", "label", "corpus", "split", order)
     has_test = main.where(F.col("split") == "test").limit(1).count() > 0
-    extras = []
-    if english is not None:
-        extras.append(corp.normalize_english(english).withColumn("corpus", F.lit("english"))
-                      .select("text", "label", "corpus", order))
-    if hinglish is not None:
-        extras.append(corp.normalize_hinglish(hinglish).withColumn("corpus", F.lit("hinglish"))
-                      .select("text", "label", "corpus", order))
+    extras = [_extra(spark, english, corp.normalize_english, "english", order),
+              _extra(spark, hinglish, corp.normalize_hinglish, "hinglish", order)]
+    extras = [e for e in extras if e is not None]
     parts = [main]
     if extras:
         extra = corp.concat_corpora(*extras)

@@ -30,6 +30,7 @@ SYSTEM_ACTOR = "SYSTEM"
 UNKNOWN_LABEL = "unknown"
 REPORT_TITLE = "Evidence Report"
 REPORT_TIMEZONE = "Asia/Kolkata"
+SHORT_TIME_PATTERN = "d/M/yy, h:mm a"           # en-IN short date + short time
 REPORT_TIME_PATTERN = "d MMM yyyy, h:mm:ss a"   # en-IN medium date + medium time (am/pm lower case)
 EXPORT_EMPTY_MESSAGE = "No evidence to export"
 CSV_HEADER = ["ID", "Timestamp", "Severity", "Max Score", "Categories", "Source", "Text"]

@@ -97,35 +97,11 @@ def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
 
 
-SPREAD_MAX_BYTES = 16 * 1024 ** 3   # only small scans are worth a round-robin shuffle
-
-
-def spread_scan(df, max_bytes: int = SPREAD_MAX_BYTES):
-    """Spread a small scan that would keep most cores idle.
-
-    A file with one row group scans in one task, which would run all per-row
-    text work (trim, SHA-256, HTML parsing) on one core (byte-range splits
-    without a row group are empty, so the split count overstates the
-    parallelism). When the scan has fewer splits than the cluster has cores
-    *and* its estimated size is under ``max_bytes`` (cheap to reshuffle), it
-    is round-robin repartitioned to the default parallelism. Anything bigger
-    is returned as is: a large table has enough splits, and reshuffling it
-    would cost more than it saves. Only planning work runs here, no job.
-    """
-    try:
-        target = df.sparkSession.sparkContext.defaultParallelism
-        splits = df.rdd.getNumPartitions()
-        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except Exception:  # noqa: BLE001 — no JVM context (e.g. a Connect session): leave as is
-        return df
-    if splits < target and size <= max_bytes:
-        return df.repartition(target)
-    return df
-
-
-def read_table(spark: SparkSession, sf_dir: str, name: str, spread: bool = True):
+def read_table(spark: SparkSession, sf_dir: str, name: str, partitions: int | None = None):
+    """One of the given tables. ``partitions`` deals a table of few large row groups out
+    to that many tasks: a caller's choice, never made from the table's size."""
     df = spark.read.parquet(table_path(sf_dir, name))
-    return spread_scan(df) if spread else df
+    return df.repartition(partitions) if partitions else df
 
 
 __all__ = ["build_session", "ensure_checkpoint_dir", "scratch_path", "read_table", "table_path",

@@ -6,12 +6,19 @@ Everything is written by executors in parallel; the driver only builds paths.
 from __future__ import annotations
 
 import datetime as _dt
+import logging
+import uuid
 
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import types as T
 
 from .. import schemas as S
 from ..functions.timeutil import iso_utc, to_millis, ts_lit
+from ..functions.text import utf16_len
 from ..operators.stats import record_json
+from ..sources.evidence import read_evidence, read_or_empty
+
+log = logging.getLogger(__name__)
 
 
 def dated(name: str, now) -> str:
@@ -38,29 +45,28 @@ def export_json_document(df: DataFrame, root: str, now, name: str = "evidence_ex
     totalIncidents, evidence: [...]}``, written without passing the store
     through one task.
 
-    Records are numbered in insertion order by the distributed index; every
-    record becomes one line (with a trailing comma except the last), framed
-    by a header line and a closing line, and the lines are range-sorted by
-    position. The part files, concatenated in name order, are one valid JSON
+    Every record becomes one line (with a leading comma except the first),
+    framed by a header line and a closing line, and the lines are range-sorted
+    once by insertion order. The part files, concatenated in name order, are one valid JSON
     document (newlines between elements are JSON whitespace). Returns the
     folder.
     """
-    from ..operators.index import global_index
-
     out = f"{root}/{dated(name, now)}.json.d"
-    total = df.count()                        # one number to the driver, used in the header
     spark = df.sparkSession
-    numbered = global_index(df, [F.col("revision"), F.col("seq")], index_col="_pos")
-    body = numbered.select(
-        F.col("_pos").cast("long").alias("_pos"),
-        F.concat(record_json(numbered),
-                 F.when(F.col("_pos") < F.lit(total - 1), F.lit(",")).otherwise(F.lit("")))
-        .alias("value"))
+    # One narrow pass for the header's total and the first record.
+    place = F.struct("revision", "seq")
+    info = df.agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).first()
+    first = (F.lit(False) if info["first"] is None else
+             (F.col("revision") == info["first"]["revision"]) & (F.col("seq") == info["first"]["seq"]))
+    body = df.select(F.lit(1).alias("_part"), F.col("revision").cast("long").alias("revision"),
+                     F.col("seq").cast("long").alias("seq"),
+                     F.concat(F.when(first, F.lit("")).otherwise(F.lit(",")), record_json(df)).alias("value"))
     ts = _dt.datetime.fromtimestamp(to_millis(now) / 1000, tz=_dt.timezone.utc)
     head = ('{"exportDate":"' + ts.strftime("%Y-%m-%dT%H:%M:%S.") + f"{ts.microsecond // 1000:03d}Z"
-            + f'","version":"{S.EVIDENCE_VERSION}","totalIncidents":{total},"evidence":[')
-    frame = spark.createDataFrame([(-1, head), (total, "]}")], "_pos long, value string")
-    (body.unionByName(frame).orderBy("_pos").select("value")
+            + f'","version":"{S.EVIDENCE_VERSION}","totalIncidents":{info["n"]},"evidence":[')
+    frame = spark.createDataFrame([(0, 0, 0, head), (2, 0, 0, "]}")],
+                                  "_part int, revision long, seq long, value string")
+    (body.unionByName(frame).orderBy("_part", "revision", "seq").select("value")
          .write.mode("overwrite").text(out))
     return out
 
@@ -92,14 +98,45 @@ def export_csv(df: DataFrame, path: str) -> str | None:
     return None
 
 
-def append_evidence(df: DataFrame, path: str) -> None:
+SIZES = T.StructType([T.StructField("rows", T.LongType()), T.StructField("chars", T.LongType())])
+
+
+def _size_path(path: str) -> str:
+    return f"{path.rstrip('/')}__size"
+
+
+def note_size(spark, path: str, batch_id: int) -> dict:
+    """Book one written batch's size beside the store and check the store's total against
+    the limit: over it is a warning, writes go on (A3 on write). Only the batch's own
+    partition is read back."""
+    batch = read_evidence(spark, path).where(F.col("batch_id") == batch_id)
+    seen = batch.agg(F.count(F.lit(1)).alias("r"), F.sum(utf16_len(record_json(batch))).alias("c")).first()
+    booked = spark.createDataFrame([(seen["r"], seen["c"] or 0)], SIZES).coalesce(1)
+    booked.write.mode("overwrite").parquet(f"{_size_path(path)}/batch_id={int(batch_id)}")
+    t = read_or_empty(spark, SIZES, _size_path(path)).agg(F.sum("rows").alias("r"), F.sum("chars").alias("c")).first()
+    size = 2 if not t["r"] else t["c"] + t["r"] + 1
+    if size > S.MAX_STORE_BYTES:
+        log.warning("evidence store %s holds %s of %s units", path, size, S.MAX_STORE_BYTES)
+    return {"rows": seen["r"], "size": size, "over_quota": size > S.MAX_STORE_BYTES}
+
+
+def append_evidence(df: DataFrame, path: str) -> dict:
     """Append records (K5): never de-duplicated, partitioned by save date so
-    time-bounded reads prune partitions. O(batch) per append."""
-    (df.withColumn("saved_date", F.to_date("saved_at"))
-       .write.mode("append").partitionBy("saved_date").parquet(path))
+    time-bounded reads prune partitions. O(batch) per append. The live job writes
+    the same layout under its own ``batch_id``; every append has a negative one of
+    its own. Returns ``{rows, size, over_quota}``."""
+    batch_id = -1 - (uuid.uuid4().int >> 66)
+    (df.withColumn("saved_date", F.to_date("saved_at")).withColumn("batch_id", F.lit(batch_id).cast("long"))
+       .write.mode("append").partitionBy("saved_date", "batch_id").parquet(path))
+    return note_size(df.sparkSession, path, batch_id)
 
 
 def clear_store(spark, path: str) -> None:
-    """Replace the store with an empty table of the same schema."""
-    empty = spark.createDataFrame([], S.EVIDENCE).withColumn("saved_date", F.to_date("saved_at"))
-    empty.write.mode("overwrite").partitionBy("saved_date").parquet(path)
+    """Replace the store with an empty table of the same schema (J6), whatever the
+    session's partition overwrite mode is."""
+    empty = spark.createDataFrame([], S.EVIDENCE).withColumn("saved_date", F.to_date("saved_at")).withColumn(
+        "batch_id", F.lit(-1).cast("long"))
+    (empty.write.mode("overwrite").option("partitionOverwriteMode", "static")
+          .partitionBy("saved_date", "batch_id").parquet(path))
+    (spark.createDataFrame([], SIZES).write.mode("overwrite").option("partitionOverwriteMode", "static")
+          .parquet(_size_path(path)))

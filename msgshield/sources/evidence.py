@@ -1,20 +1,29 @@
-"""Evidence scan (S8): a missing or unreadable store reads as empty."""
+"""Evidence scan (S8): a missing store reads as empty, any other error is raised."""
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from .. import schemas as S
 
-STORED = T.StructType(S.EVIDENCE.fields + [T.StructField("saved_date", T.DateType())])
+STORED = T.StructType(S.EVIDENCE.fields + [T.StructField("saved_date", T.DateType()),
+                                           T.StructField("batch_id", T.LongType())])
 
 
-def read_evidence(spark: SparkSession, path: str) -> DataFrame:
-    """Read the store with its fixed schema; absent path or read error → empty."""
+def read_or_empty(spark: SparkSession, schema: T.StructType, *paths: str, **options) -> DataFrame:
+    """Parquet under ``paths``; no such path → empty. A layout, permission or
+    schema error is an error: it must not look like an empty table."""
     try:
-        df = spark.read.schema(STORED).parquet(path)
-        df.schema  # resolve the path now so a missing store is caught here
-        return df
-    except Exception:  # noqa: BLE001 — the reference returns [] on any read error
-        return spark.createDataFrame([], STORED)
+        return spark.read.schema(schema).options(**options).parquet(*paths)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
+def read_evidence(spark: SparkSession, path: str) -> DataFrame:
+    """Read the store, written by batch appends and by the live job alike, with its
+    fixed schema; an absent store is empty."""
+    return read_or_empty(spark, STORED, path)

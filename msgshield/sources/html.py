@@ -2,8 +2,8 @@
 
 One page in, many messages out: a ``mapInPandas`` over the pages table. Each
 task parses its own pages with the standard-library HTML tokenizer, builds a
-light element tree (HTML's implied end tags for ``p``/``li`` and void
-elements handled) and matches descendant selectors of the form
+light element tree (implied end tags for ``p``/``li``, scopes and void
+elements as HTML has them) and matches descendant selectors of the form
 ``tag.class[attr="value"] tag[attr]``. Rules apply in rule order, then
 document order; an element matched by an earlier rule is not emitted again
 (the reference marks scanned elements), while a matching element nested in
@@ -13,6 +13,7 @@ another matching element is emitted as well.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html.parser import HTMLParser
 
 from pyspark.sql import DataFrame, functions as F
@@ -33,6 +34,14 @@ RAW_TEXT = frozenset(("script", "style", "template", "noscript"))
 CLOSES_P = frozenset(("address article aside blockquote details div dl fieldset figcaption figure "
                       "footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section "
                       "table ul").split())
+# Scope boundaries and special elements of the HTML standard (fixed values).
+SCOPE = frozenset("applet caption html table td th marquee object template".split())
+BUTTON_SCOPE = SCOPE | {"button"}
+LIST_SCOPE = SCOPE | {"ol", "ul"}
+SPECIAL = SCOPE | CLOSES_P | VOID | frozenset((
+    "body button center colgroup dd dir dt frame frameset head iframe li listing noembed noframes noscript "
+    "plaintext script search select style summary tbody textarea tfoot thead title tr xmp").split())
+ITEM_STOPS = SPECIAL - {"address", "div", "p", "li"}
 BLOCK = CLOSES_P | frozenset(("li", "tr", "td", "th", "dd", "dt", "body", "html", "caption"))
 
 _SIMPLE = re.compile(r"""
@@ -61,57 +70,100 @@ def parse_selector(sel: str):
 
 
 class _Node:
-    __slots__ = ("tag", "attrs", "classes", "parent", "children", "order")
+    """An element: ``tokens[start:end]`` is its rendered text, in order."""
 
-    def __init__(self, tag, attrs, parent, order):
+    __slots__ = ("tag", "attrs", "classes", "parent", "order", "tokens", "start", "end")
+
+    def __init__(self, tag, attrs, parent, order, tokens):
         self.tag = tag
         self.attrs = attrs
         self.classes = set((attrs.get("class") or "").split())
         self.parent = parent
-        self.children = []
         self.order = order
+        self.tokens = tokens
+        self.start = self.end = len(tokens)
 
 
 class _TreeBuilder(HTMLParser):
+    """Open elements as a stack; text, ``<br>`` and block boundaries as one token list.
+
+    End tags and implied ends stop at the boundaries the HTML standard sets, so a
+    list inside a list item, or a stray end tag, closes nothing outside its scope.
+    """
+
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.root = _Node("#root", {}, None, -1)
+        self.tokens = []
+        self.root = _Node("#root", {}, None, -1, self.tokens)
         self.stack = [self.root]
+        self.open_tags = Counter()       # tells at once that nothing of a tag is open
+        self.raw = 0                     # open elements whose text is not rendered
         self.nodes = []
 
     def _open(self, tag, attrs):
-        node = _Node(tag, attrs, self.stack[-1], len(self.nodes))
-        self.stack[-1].children.append(node)
+        if tag in BLOCK:
+            self.tokens.append("\n")
+        node = _Node(tag, attrs, self.stack[-1], len(self.nodes), self.tokens)
         self.nodes.append(node)
         return node
 
-    def _close_until(self, tag):
-        for i in range(len(self.stack) - 1, 0, -1):
-            if self.stack[i].tag == tag:
-                del self.stack[i:]
+    def _pop_to(self, depth):
+        for node in reversed(self.stack[depth:]):
+            node.end = len(self.tokens)
+            if node.tag in BLOCK:
+                self.tokens.append("\n")
+            self.open_tags[node.tag] -= 1
+            self.raw -= node.tag in RAW_TEXT
+        del self.stack[depth:]
+
+    def _close(self, tag, stops):
+        """Close the innermost open ``tag`` unless an element of ``stops`` is inside it."""
+        if not self.open_tags[tag]:
+            return
+        for depth in range(len(self.stack) - 1, 0, -1):
+            if self.stack[depth].tag == tag:
+                self._pop_to(depth)
+                return
+            if self.stack[depth].tag in stops:
                 return
 
     def handle_starttag(self, tag, attrs):
         a = {k.lower(): (v if v is not None else "") for k, v in attrs}
-        if tag in CLOSES_P and any(n.tag == "p" for n in self.stack[1:]):
-            self._close_until("p")
-        if tag == "li" and any(n.tag == "li" for n in self.stack[1:]):
-            self._close_until("li")
+        if tag in CLOSES_P or tag in ("li", "dd", "dt"):
+            if tag == "li":
+                self._close("li", ITEM_STOPS)
+            self._close("p", BUTTON_SCOPE)
+        if tag == "br":
+            self.tokens.append("\n")
         node = self._open(tag, a)
         if tag not in VOID:
             self.stack.append(node)
+            self.open_tags[tag] += 1
+            self.raw += tag in RAW_TEXT
 
     def handle_startendtag(self, tag, attrs):
-        self._open(tag, {k.lower(): (v or "") for k, v in attrs})
+        # HTML ignores the slash of an element that may have content.
+        self.handle_starttag(tag, attrs)
 
     def handle_endtag(self, tag):
         if tag == "br":
-            self._open("br", {})
-            return
-        self._close_until(tag)
+            self.handle_starttag("br", [])
+        elif tag == "li":
+            self._close("li", LIST_SCOPE)
+        elif tag == "p":
+            self._close("p", BUTTON_SCOPE)
+        elif tag in SPECIAL:
+            self._close(tag, SCOPE)
+        else:
+            self._close(tag, SPECIAL)
 
     def handle_data(self, data):
-        self.stack[-1].children.append(data)
+        if not self.raw:
+            self.tokens.append(data)
+
+    def close(self):
+        super().close()
+        self._pop_to(1)
 
 
 def _matches(node, part):
@@ -140,28 +192,11 @@ def _select(node, parts):
 
 
 def inner_text(node) -> str:
-    """Rendered-text approximation: text nodes in order, scripts/styles
-    skipped, ``<br>`` and block boundaries as line breaks, runs of blanks
-    collapsed inside each line."""
-    out = []
-
-    def walk(n):
-        for ch in n.children:
-            if isinstance(ch, str):
-                out.append(ch)
-            elif ch.tag == "br":
-                out.append("\n")
-            elif ch.tag in RAW_TEXT:
-                continue
-            else:
-                block = ch.tag in BLOCK
-                if block:
-                    out.append("\n")
-                walk(ch)
-                if block:
-                    out.append("\n")
-    walk(node)
-    lines = [re.sub(r"[ \t\r\f\v]+", " ", ln).strip(" ") for ln in "".join(out).split("\n")]
+    """Rendered-text approximation: text in order, scripts/styles left out,
+    ``<br>`` and block boundaries as line breaks, runs of blanks collapsed
+    inside each line."""
+    lines = [re.sub(r"[ \t\r\f\v]+", " ", ln).strip(" ")
+             for ln in "".join(node.tokens[node.start:node.end]).split("\n")]
     return "\n".join(ln for ln in lines if ln)
 
 
@@ -182,6 +217,13 @@ def extract_from_html(html: str, rules):
     return rows
 
 
+def url_host(url):
+    """``location.hostname``: the host of the URL's authority in lower case, without user
+    and port; null where there is none. Odd characters elsewhere do not matter."""
+    host = F.lower(F.regexp_extract(url, r"^\s*[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]]*\]|[^/?#:]*)", 1))
+    return F.when(host != "", host)
+
+
 OUT_SCHEMA = "page_id long, url string, rule_idx int, node_idx int, text string"
 
 
@@ -207,8 +249,7 @@ def extract_messages(pages: DataFrame, rules=REFERENCE_RULES, id_col: str = "pag
 
     raw = pages.select(F.col(id_col).cast("long").alias(id_col), url_col, html_col)
     found = raw.mapInPandas(run, OUT_SCHEMA)
-    host = F.lower(F.try_parse_url(F.col("url"), F.lit("HOST")))   # location.hostname is lower case
-    return found.select("page_id", host.alias("source"),
+    return found.select("page_id", url_host(F.col("url")).alias("source"),
                         "rule_idx", "node_idx", "text")
 
 

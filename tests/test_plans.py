@@ -50,9 +50,19 @@ def test_severity_dimension_broadcast(spark):
     assert "BroadcastHashJoin" in p or "BroadcastExchange" in p
 
 
-def test_spread_only_small_scans(spark):
-    from msgshield.session import read_table, spread_scan
-    raw = read_table(spark, SF_SMALL, "documents", spread=False)
-    target = spark.sparkContext.defaultParallelism
-    assert spread_scan(raw).rdd.getNumPartitions() == target
-    assert spread_scan(raw, max_bytes=1).rdd.getNumPartitions() == raw.rdd.getNumPartitions()
+def test_reads_add_no_shuffle_by_size(spark):
+    """A table is read as it is split; dealing it out is a caller's choice."""
+    from msgshield.session import read_table
+    assert "Exchange" not in plan(read_table(spark, SF_SMALL, "documents"))
+    assert read_table(spark, SF_SMALL, "documents", partitions=5).rdd.getNumPartitions() == 5
+
+
+def test_positions_sort_and_checkpoint_keys_only(spark):
+    """No text and no screenshot below the range sort and the checkpoint."""
+    from msgshield.operators.index import positions
+    ev = fx.evidence(spark, SF_SMALL)
+    placed = positions(ev, [F.col("timestamp").desc(), "revision", "seq"], keep=["revision", "seq"], index_col="p")
+    assert placed.columns == ["revision", "seq", "p"]
+    p = plan(ev.orderBy(F.col("timestamp").desc(), "revision", "seq").select("revision", "seq"))
+    below = p[p.index("rangepartitioning"):].split("FileScan")[0]
+    assert "screenshot" not in below and "chain_of_custody" not in below and "categories#" not in below
