@@ -8,14 +8,14 @@ terms are always features, else the penalty would have nothing to hold.
 
 Fitting: at most ``SAMPLE_ROWS`` labelled rows, drawn by a seeded hash over all
 labels, are used (the bound the driver holds). Features are counted on the cluster; those
-whose log odds ratio is significant (``LEAST_Z``) are kept, ``MAX_FEATURES`` at
+whose association with the label is significant (G test, ``LEAST_G``) are kept, ``MAX_FEATURES`` at
 most, so the model's size is bounded and can be broadcast. Scoring is one pass
 over whole texts without a shuffle.
 
 Defined results: null text is scored as an empty text (the model's prior); rows without
 an id count as held out; labels that are null or have no document are not
-learned from; if no label can be learned, every score is the prior 0 ; repeated rows score
-alike. Id, language, source and labels are not features.
+learned from; if there is no label to learn from, every score is 0.5; repeated rows
+score alike. Id, language, source and labels are not features.
 """
 
 from __future__ import annotations
@@ -34,8 +34,8 @@ from .common import prepare, written
 
 SAMPLE_ROWS = 30_000
 MAX_FEATURES = 20_000
-LEAST_Z = 4.0
-PREFIXES = (4, 5, 6)
+LEAST_G = 12.0             # chance of an unrelated feature: about 1 in 2,000
+PREFIXES = (3, 4, 5, 6)
 FOLDS = 5
 RIDGE = 1e-4
 SWAP_PENALTY = 1.0
@@ -149,16 +149,22 @@ def _count_features(sample: DataFrame) -> DataFrame:
                   .groupBy("feature").agg(F.sum("docs").alias("docs"), F.sum("toxic").alias("toxic")))
 
 
-def _choose(counts: DataFrame, max_features: int, least_z: float) -> list[str]:
+def _choose(counts: DataFrame, max_features: int, least_g: float) -> list[str]:
     total = counts.where("feature = ''").first()
     if total is None:
         return []
     n, bad = total["docs"], total["toxic"]
-    a, b = F.col("toxic") + 0.5, F.col("docs") - F.col("toxic") + 0.5
-    c, d = F.lit(bad + 0.5) - F.col("toxic"), F.lit(n - bad + 0.5) - (F.col("docs") - F.col("toxic"))
-    z = F.abs(F.log(a / c) - F.log(b / d)) / F.sqrt(1 / a + 1 / b + 1 / c + 1 / d)
-    top = (counts.where("feature <> ''").withColumn("z", z).where(F.col("z") >= least_z)
-                 .orderBy(F.desc("z"), "feature").limit(max_features))
+    hits, others = F.col("toxic"), F.col("docs") - F.col("toxic")
+
+    def cell(seen, row, column):
+        """One cell's part of the G statistic, 2 x observed x ln(observed / expected)."""
+        return F.when(seen > 0, 2 * seen * F.log(seen * F.lit(float(n)) / (row * column))).otherwise(F.lit(0.0))
+
+    absent = F.lit(n) - F.col("docs")
+    g = (cell(hits, F.col("docs"), F.lit(float(bad))) + cell(others, F.col("docs"), F.lit(float(n - bad)))
+         + cell(F.lit(bad) - hits, absent, F.lit(float(bad))) + cell(F.lit(n - bad) - others, absent, F.lit(float(n - bad))))
+    top = (counts.where("feature <> ''").withColumn("g", g).where(F.col("g") >= least_g)
+                 .orderBy(F.desc("g"), "feature").limit(max_features))
     return [r["feature"] for r in top.select("feature").collect()]
 
 
@@ -212,11 +218,11 @@ def fit_weights(own: list, toxic, other: list, size: int, ridge: float = RIDGE,
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, max_features: int = MAX_FEATURES,
-        least_z: float = LEAST_Z, **options) -> ToxicityModel:
+        least_g: float = LEAST_G, **options) -> ToxicityModel:
     """Learn from labelled rows that are not held out."""
     prepare(docs.sparkSession)
     sample = written(_sample(docs, labels, rows), "toxicity-sample")
-    names = _choose(_count_features(sample), max_features, least_z)
+    names = _choose(_count_features(sample), max_features, least_g)
     names += sorted({f for t in _GROUP_OF for f in features_of(t)} - set(names))
     encoded = _encode(sample, {f: i for i, f in enumerate(names)}).limit(2 * rows).collect()
     if not encoded:
