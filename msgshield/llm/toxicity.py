@@ -223,7 +223,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, max_feature
     prepare(docs.sparkSession)
     sample = written(_sample(docs, labels, rows), "toxicity-sample")
     names = _choose(_count_features(sample), max_features, least_g)
-    names += sorted({f for t in _GROUP_OF for f in features_of(t)} - set(names))
+    names += sorted(_GROUP_OF.keys() - set(names))      # whole terms: their prefixes open ordinary words
     encoded = _encode(sample, {f: i for i, f in enumerate(names)}).limit(2 * rows).collect()
     if not encoded:
         return ToxicityModel()
