@@ -34,7 +34,7 @@ def op6_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.line_groups(table(spark, sf_dir, "documents"))
+    return lines.line_groups(table(spark, sf_dir, "documents"), whole=True)
 
 
 def op8_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
