@@ -59,16 +59,18 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     return int(np.packbits(ones * 2 > n, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """``(doc_id, fp)`` with the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, also: tuple[str, ...] = ()) -> DataFrame:
+    """``(doc_id, fp)`` with the fingerprint as a signed long, and the columns ``also``."""
     def batches(it):
         for batch in it:
             texts = batch.column(1).cast(pa.binary()).to_pylist()
             fps = np.array([fingerprint(t or b"", shingle) for t in texts], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], ["doc_id", "fp"])
+            rest = [batch.column(i) for i in range(2, batch.num_columns)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64()), *rest], ["doc_id", "fp", *also])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(batches, f"doc_id {kind}, fp long")
+    kinds = {c: docs.schema[c].dataType.simpleString() for c in ("doc_id", *also)}
+    return docs.select("doc_id", "text", *also).mapInArrow(
+        batches, ", ".join([f"doc_id {kinds['doc_id']}", "fp long", *[f"{c} {kinds[c]}" for c in also]]))
 
 
 def _masks(max_distance: int) -> list[int]:
@@ -128,21 +130,22 @@ def links(classes: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
     return postings.select(F.explode(verified("pos", "members")).alias("e")).select("e.a", "e.b").distinct()
 
 
-def simhash_groups(docs: DataFrame, shingle: int = SHINGLE, max_distance: int = MAX_DISTANCE) -> DataFrame:
-    """``(doc_id, fp, component_id, group_fp)`` for every row of ``docs``.
+def simhash_groups(docs: DataFrame, shingle: int = SHINGLE, max_distance: int = MAX_DISTANCE,
+                   also: tuple[str, ...] = ()) -> DataFrame:
+    """``(doc_id, fp, component_id, group_fp)`` and the columns ``also`` for every row of ``docs``.
 
     ``component_id`` is the smallest id in the connected group (null only if the
     group has no id), ``group_fp`` a fingerprint that names the group.
     """
     prepare(docs.sparkSession)
-    fps = written(fingerprints(docs, shingle), "simhash")
+    fps = written(fingerprints(docs, shingle, also), "simhash")
     classes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("low")), "simhash-classes")
     comp = connected_components(links(classes, max_distance))
     grouped = classes.join(comp, classes["fp"] == comp["node"], "left").select(
         "fp", "low", F.coalesce("component", "fp").alias("group_fp"))
     lows = grouped.groupBy("group_fp").agg(F.min("low").alias("component_id"))
     members = grouped.join(lows, "group_fp").select("fp", "group_fp", "component_id")
-    return fps.join(members, "fp").select("doc_id", "fp", "component_id", "group_fp")
+    return fps.join(members, "fp").select("doc_id", "fp", "component_id", "group_fp", *also)
 
 
 def hex_fingerprint(fp):
@@ -150,12 +153,16 @@ def hex_fingerprint(fp):
 
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_distance: int = MAX_DISTANCE) -> DataFrame:
-    """Documents with one row of each group left: the one with the smallest id."""
-    groups = simhash_groups(docs, shingle, max_distance)
-    first = (groups.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-                   .select(F.col("doc_id").alias("_id"), F.col("group_fp")).distinct())
-    rows = docs.select(*DOCUMENT_COLUMNS)
-    # Rows that repeat an id (or have none) still leave one row per group.
-    order = Window.partitionBy("_id", "group_fp").orderBy(F.xxhash64("text", "lang", "source", "n_chars"))
-    return (rows.join(first, rows["doc_id"].eqNullSafe(first["_id"]))
+    """Documents with one row of each group left: the one with the smallest id (a row without
+    an id comes last), and of several such rows the one with the smallest hash."""
+    values = DOCUMENT_COLUMNS[1:]
+    # Rows that repeat an id (or have none) are told apart by their values; the second hash tells nulls apart.
+    rows = (docs.select(*DOCUMENT_COLUMNS)
+                .withColumn("_h", F.xxhash64(*values))
+                .withColumn("_g", F.xxhash64(*[F.col(c).isNull() for c in values], *reversed(values))))
+    groups = simhash_groups(rows, shingle, max_distance, ("_h", "_g"))
+    first = (groups.groupBy("group_fp").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_h", "_g")).alias("at"))
+                   .select(F.col("at.doc_id").alias("_id"), F.col("at._h").alias("_ah"), F.col("at._g").alias("_ag")))
+    order = Window.partitionBy("doc_id", "_h", "_g").orderBy("_h")      # rows equal in every column
+    return (rows.join(first, rows["doc_id"].eqNullSafe(first["_id"]) & (F.col("_h") == F.col("_ah")) & (F.col("_g") == F.col("_ag")))
                 .withColumn("_n", F.row_number().over(order)).where("_n = 1").select(*DOCUMENT_COLUMNS))

@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from msgshield.llm import simhash
 from msgshield.llm.components import connected_components
-from .helpers import (SMALL, clashing, components, edge_docs, empty_docs, majority_bits, rows, small_docs, words, xxh)
+from .helpers import (DOCS, SMALL, clashing, components, edge_docs, empty_docs, majority_bits, rows, small_docs, words, xxh)
 
 
 def plain_fingerprint(text):
@@ -60,3 +60,11 @@ def test_edges(spark):
 def test_hex_is_unsigned(spark):
     row = spark.range(1).select(simhash.hex_fingerprint(F.lit(-2)).alias("h"), simhash.hex_fingerprint(F.lit(10)).alias("z")).first()
     assert row == ("fffffffffffffffe", "000000000000000a")
+
+
+def test_rows_without_an_id_or_that_share_one_keep_their_own_group(spark):
+    texts = [f"words of text {n} that no other row has, {n * n} in all" for n in range(6)]
+    docs = [(None, t, "en", "s", 9) for t in texts[:3]] + [(7, t, "en", "s", 9) for t in texts[3:]]
+    docs += [(None, texts[0], None, "s", 9), (None, texts[1], "en", "s", 9), (9, texts[3], "en", "s", 9), (8, texts[2], "en", "s", 9)]
+    got = simhash.drop_near_duplicates(spark.createDataFrame(docs, DOCS)).collect()
+    assert sorted((r.text, r.doc_id or 0) for r in got) == sorted(zip(texts, (0, 0, 8, 7, 7, 7)))
