@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import fingerprint, mixing, secrets
+from . import collocations, fingerprint, minhash, mixing, secrets, variants
 
 _WORDS = r"[^\x20\x09-\x0D]+"
 
@@ -104,7 +104,84 @@ SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_a
         sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN a USING (doc_id)"""
 
 
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def _collocation_sql() -> str:
+    grams = " UNION ALL ".join(
+        f"SELECT lang, {k} AS k, unnest(list_transform(range(1, len(w) - {k - 2}), lambda i: array_to_string(w[i:i + {k - 1}], ' '))) AS phrase "
+        f"FROM w WHERE len(w) >= {k}" for k in range(1, collocations.MAX_WORDS + 1))
+    cut = "string_split(c.phrase, ' ')"
+    return f"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+        translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+f AS (SELECT lang, k, phrase, count(*) AS f FROM ({grams}) GROUP BY ALL),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, k, phrase, f AS a FROM f WHERE k > 1 AND f >= {collocations.LEAST}),
+longer AS (SELECT lang, max(a) AS longest, inner_phrase FROM (SELECT lang, a,
+        unnest([array_to_string({cut}[1:k - 1], ' '), array_to_string({cut}[2:k], ' ')]) AS inner_phrase FROM c) GROUP BY ALL),
+kept AS (SELECT c.* FROM c LEFT JOIN longer l ON l.lang = c.lang AND l.inner_phrase = c.phrase
+        WHERE l.longest IS NULL OR 100 * l.longest < {collocations.SHARE} * c.a),
+cuts AS (SELECT *, array_to_string({cut}[1:cut], ' ') AS head, array_to_string({cut}[cut + 1:k], ' ') AS tail
+        FROM (SELECT *, unnest(range(1, k)) AS cut FROM kept) c),
+scored AS (SELECT cuts.*, h.f AS l, t.f AS r, (1000000::HUGEINT * a * a) // (h.f::HUGEINT * t.f) AS score
+        FROM cuts JOIN f h ON h.lang = cuts.lang AND h.phrase = head JOIN f t ON t.lang = cuts.lang AND t.phrase = tail),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1)
+SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM (SELECT *,
+        row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM best) JOIN n USING (lang)
+WHERE rank <= {collocations.TOP}"""
+
+
+def _variant_sql() -> str:
+    step = "CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END"
+    code = "unicode(c)"
+    return f"""
+WITH RECURSIVE bits AS (SELECT b, b::BIGINT AS x, 0 AS i FROM range(256) r(b)
+        UNION ALL SELECT b, {step}, i + 1 FROM bits WHERE i < 8),
+tab AS (SELECT list(x ORDER BY b) AS t FROM bits WHERE i = 8),
+runs AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '[a-zÀ-ÿ]+')) AS w FROM documents),
+each AS (SELECT doc_id, w, count(*) AS n FROM runs GROUP BY ALL),
+bytes AS (SELECT *, flatten(list_transform(string_split(coalesce(doc_id::VARCHAR, '') || ':' || w, ''), lambda c:
+        CASE WHEN {code} < 128 THEN [{code}] ELSE [{code} // 64 + 192, {code} % 64 + 128] END)) AS bs FROM each),
+sums AS (SELECT doc_id, w, n, xor(list_reduce(bs, lambda x, b: xor(x // 256, t[(xor(x, b) % 256) + 1]), 4294967295::BIGINT),
+        4294967295) AS h FROM (SELECT doc_id, w, n, list_transform(bs, lambda b: b::BIGINT) AS bs FROM bytes), tab),
+cut AS (SELECT CASE WHEN h % {variants.DELETE_EVERY} = 0 THEN left(w, (h % length(w))::INT) || substr(w, (h % length(w) + 2)::INT)
+        ELSE w END AS word, n FROM sums),
+v AS (SELECT word, sum(n)::BIGINT AS n FROM cut WHERE length(word) >= {variants.LEAST_LENGTH} GROUP BY word HAVING sum(n) >= {variants.LEAST}),
+less AS (SELECT word, i, left(word, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, unnest(range(1, length(word) + 1))::INT AS i FROM v)),
+pairs AS (SELECT a.word, b.word AS near FROM less a JOIN less b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+        UNION SELECT a.word, b.word FROM less a JOIN v b ON a.rest = b.word
+        UNION SELECT b.word, a.word FROM less a JOIN v b ON a.rest = b.word),
+near AS (SELECT p.word, p.near, v.n AS m, count(*) OVER (PARTITION BY p.word) AS n_near FROM pairs p JOIN v ON v.word = p.near),
+best AS (SELECT * FROM near QUALIFY row_number() OVER (PARTITION BY word ORDER BY m DESC, near) = 1),
+forms AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= {variants.FORM_TIMES} * v.n THEN near END AS form,
+        CASE WHEN m >= {variants.FORM_TIMES} * v.n THEN m END AS form_n FROM v LEFT JOIN best ON best.word = v.word),
+walk AS (SELECT word, word AS at FROM forms UNION ALL SELECT w.word, f.form FROM walk w JOIN forms f ON f.word = w.at WHERE f.form IS NOT NULL),
+roots AS (SELECT w.word, w.at AS root FROM walk w JOIN forms f ON f.word = w.at WHERE f.form IS NULL)
+SELECT f.word, f.form, r.root, f.n, f.n_near, f.form_n FROM forms f JOIN roots r USING (word)"""
+
+
+def _minhash_sql() -> str:
+    k, s = minhash.SHINGLE, minhash.SIMILARITY
+    return f"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{_WORDS}') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) <= {k} THEN [array_to_string(w, ' ')] ELSE
+        list_transform(range(1, len(w) - {k - 2}), lambda i: array_to_string(w[i:i + {k - 1}], ' ')) END) AS shingle FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM pairs JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * shared >= {s} * (x.n + y.n - shared)),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM n UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b),
+comp AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
+SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(c.component_id, w.doc_id) AS component_id,
+        w.doc_id = coalesce(c.component_id, w.doc_id) AS kept
+FROM w LEFT JOIN n USING (doc_id) LEFT JOIN comp c USING (doc_id)"""
+
+
 ORACLE = {
+    "op11_collocations": _collocation_sql(),
+    "op12_spelling_variants": _variant_sql(),
+    "op13_minhash_dedup": _minhash_sql(),
     "op1_mix_sources": _mix_sql(),
     "op6_document_fingerprints": _FINGERPRINT_SQL,
     "op8_url_rules": _URL_SQL,

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import fingerprint, lines, mixing, nearest, packing, secrets, simhash, substrings, toxicity, urlrules
+from . import (collocations, fingerprint, lines, minhash, mixing, nearest, packing, secrets, simhash, substrings, toxicity, urlrules,
+               variants)
 from .common import table
 
 
@@ -50,6 +51,18 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.variant_groups(table(spark, sf_dir, "documents"))
+
+
+def op13_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicate_groups(table(spark, sf_dir, "documents"))
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
@@ -58,4 +71,5 @@ def tokenizer_path() -> str:
 
 QUERIES = {f.__name__: f for f in (
     op1_mix_sources, op2_simhash_dedup, op3_nearest_vectors, op4_pack_sequences, op5_substring_dedup, op6_document_fingerprints,
-    op7_line_dedup, op8_url_rules, op9_secret_ledger, op10_toxicity)}
+    op7_line_dedup, op8_url_rules, op9_secret_ledger, op10_toxicity, op11_collocations, op12_spelling_variants,
+    op13_minhash_dedup)}
