@@ -13,7 +13,7 @@ text and screenshots never pass the sort or the checkpoint.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import ensure_checkpoint_dir
 
@@ -82,20 +82,53 @@ def positions(df: DataFrame, order, by=None, keep=(), index_col: str = "idx",
     return (placed.withColumnRenamed("_size", count_col) if count_col else placed.drop("_size")).drop("_first")
 
 
+def _fresh(taken, n: int) -> list[str]:
+    """Column names that no column of ``taken`` has."""
+    taken, out, i = set(taken), [], 0
+    while len(out) < n:
+        if f"_c{i}" not in taken:
+            out.append(f"_c{i}")
+        i += 1
+    return out
+
+
+def _equal(names) -> Column:
+    cond = F.lit(True)
+    for left, right in names:
+        cond = cond & F.col(left).eqNullSafe(F.col(right))
+    return cond
+
+
 def attach(df: DataFrame, placed: DataFrame, keys, cols) -> DataFrame:
     """Join ``cols`` of ``placed`` back to the records of ``df`` by ``keys`` (null-safe).
 
-    Keys are meant to be unique. Where they repeat, both sides are numbered
-    within the key, so every record still gets a position of its own and no
-    record is lost or doubled.
+    Keys are meant to be unique; that is looked up on the narrow side. Only records
+    whose key repeats (or is null more than once) go another way: each gets an occurrence number from
+    :func:`positions`, as their rows of ``placed`` do, and the two meet on (key, occurrence). So every
+    record gets a position of its own, none is lost or doubled, and a key that holds a third of
+    all rows spreads over many tasks. No record passes a sort or a window.
     """
     keys, cols = list(keys), list(cols)
-    key = F.to_json(F.struct(*keys), {"ignoreNullFields": "false"})
-    lists = placed.groupBy(key.alias("_k")).agg(F.array_sort(F.collect_list(F.struct(*cols))).alias("_p"))
-    nth = F.row_number().over(Window.partitionBy("_k").orderBy("_k"))
-    joined = df.withColumn("_k", key).withColumn("_nth", nth).join(lists, "_k")
-    at = F.element_at("_p", F.col("_nth"))
-    return joined.select(*df.columns, *[at[c].alias(c) for c in cols])
+    names = _fresh([*df.columns, *placed.columns], len(keys) + len(cols) + 2)
+    right, values, (uid, nth) = names[:len(keys)], names[len(keys):-2], names[-2:]
+    side = placed.select(*[F.col(k).alias(r) for k, r in zip(keys, right)], *[F.col(c).alias(v) for c, v in zip(cols, values)])
+    kept = [c for c in df.columns if c not in cols]
+    result = [*kept, *[F.col(v).alias(c) for c, v in zip(cols, values)]]
+    repeated = side.groupBy(*right).agg(F.count(F.lit(1)).alias(nth)).where(F.col(nth) > 1).select(*right)
+    same = _equal(zip(keys, right))
+    if repeated.isEmpty():
+        return df.join(side, same).select(*result)
+
+    repeated = repeated.checkpoint(eager=True)
+    again = [f"{r}_" for r in right]
+    single = side.join(repeated.toDF(*again), _equal(zip(right, again)), "left_anti")
+    one = df.join(single, same).select(*result)
+    many = df.join(repeated, same, "left_semi").withColumn(uid, F.monotonically_increasing_id()).checkpoint(eager=True)
+    rows = positions(many.select(*keys, uid), [uid], by=keys, keep=[uid], index_col=nth)
+    places = positions(side.join(repeated.toDF(*again), _equal(zip(right, again)), "left_semi"), values, by=right, keep=values,
+                       index_col=f"{nth}_")
+    numbered = rows.join(places, _equal([*zip(keys, right), (nth, f"{nth}_")])).select(F.col(uid).alias(f"{uid}_"), *values)
+    return one.unionByName(many.join(numbered, F.col(uid) == F.col(f"{uid}_")).select(*result))
 
 
 def global_index(df: DataFrame, order, by=None, index_col: str = "idx") -> DataFrame:

@@ -9,8 +9,10 @@ from __future__ import annotations
 
 import os
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .. import schemas as S
 from ..functions import codec
 from ..functions.decision import abusive_sum, with_decision
 from ..functions.labels import argmax, id2label, is_abusive_label, label2id, lenient_label
@@ -22,7 +24,7 @@ from ..sinks import export as sink
 from ..sources import corpus as src
 from ..sources import html as html_src
 from ..sources.evidence import read_evidence
-from ..streaming import stream as st
+from ..streaming import stream as st, timed
 from . import fixtures as fx
 
 QUERIES: dict = {}
@@ -635,6 +637,24 @@ def q_stream_retry(spark, sf_dir):
     return st.read_batches(spark, attempts, st.ATTEMPT).select("scope", "id", "ord", "status", "attempt")
 
 
+def failing_first(messages: pd.DataFrame) -> pd.DataFrame:
+    """A model that raises at the first attempt of ids whose first byte is a multiple of 11."""
+    if any(a == 1 and int(i[:2], 16) % 11 == 0 for i, a in zip(messages["id"], messages["attempt"])):
+        raise ConnectionError("scorer unavailable")
+    return pd.DataFrame({S.ID2LABEL[i]: [1.0 / len(S.ID2LABEL)] * len(messages) for i in S.ID2LABEL})
+
+
+@register("stream_timed_retry")
+def q_stream_timed_retry(spark, sf_dir):
+    """All messages arrive at once; those that fail come due by timer, with no further input."""
+    inp, attempts, ck = (scratch_path(spark, n) for n in ("in", "attempts", "ck"))
+    _land_files(fx.document_messages(spark, sf_dir), inp)
+    rows = timed.score_with_timer(st.read_message_stream(spark, inp), lambda: failing_first, first_delay_ms=200)
+    timed.run_until_drained(spark, rows.writeStream.outputMode("append").option("checkpointLocation", ck)
+                            .foreachBatch(timed.attempts_sink(attempts)), attempts, period_ms=200)
+    return st.read_batches(spark, attempts, st.ATTEMPT).select("scope", "id", "status", "attempt")
+
+
 def _incident_stream(spark, inp):
     s = detect.filter_messages(st.read_message_stream(spark, inp))
     decided = with_decision(fx.with_fixture_scores(s, key="ord"))

@@ -437,6 +437,13 @@ WITH {DOC_MESSAGES},
          WHERE NOT EXISTS (SELECT 1 FROM a1 WHERE a1.scope = o.scope AND a1.id = o.id AND a1.status = 'ok'))
 SELECT * FROM a1 UNION ALL SELECT * FROM a2"""
 
+ORACLE["stream_timed_retry"] = f"""
+WITH {DOC_MESSAGES},
+  firsts AS (SELECT DISTINCT scope, sha256(text) AS id FROM doc_kept),
+  tries AS (SELECT *, CAST('0x' || substr(id, 1, 2) AS INTEGER) % 11 = 0 AS fails FROM firsts)
+SELECT scope, id, CASE WHEN fails THEN 'error' ELSE 'ok' END AS status, 1 AS attempt FROM tries
+UNION ALL SELECT scope, id, 'ok', 2 FROM tries WHERE fails"""
+
 _STREAM_EV = f"""{DOC_MESSAGES},
   sev AS (SELECT sha256(text) AS id, ord AS seq, {severity('ord')} AS severity FROM doc_kept WHERE {flagged('ord')})"""
 

@@ -16,7 +16,7 @@ from .. import schemas as S
 from ..functions.timeutil import iso_utc, to_millis, ts_lit
 from ..functions.text import utf16_len
 from ..operators.stats import record_json
-from ..sources.evidence import read_evidence, read_or_empty
+from ..sources.evidence import read_or_empty
 
 log = logging.getLogger(__name__)
 
@@ -53,20 +53,25 @@ def export_json_document(df: DataFrame, root: str, now, name: str = "evidence_ex
     """
     out = f"{root}/{dated(name, now)}.json.d"
     spark = df.sparkSession
-    # One narrow pass for the header's total and the first record.
-    place = F.struct("revision", "seq")
-    info = df.agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).first()
-    first = (F.lit(False) if info["first"] is None else
-             (F.col("revision") == info["first"]["revision"]) & (F.col("seq") == info["first"]["seq"]))
-    body = df.select(F.lit(1).alias("_part"), F.col("revision").cast("long").alias("revision"),
-                     F.col("seq").cast("long").alias("seq"),
-                     F.concat(F.when(first, F.lit("")).otherwise(F.lit(",")), record_json(df)).alias("value"))
+    place = F.struct(F.col("revision").cast("long").alias("revision"), F.col("seq").cast("long").alias("seq"))
+    lines = df.select(place.alias("place"), record_json(df).alias("value"))
+    # Records tied on the first place are told apart by their hash, equal ones by counting them.
+    info = lines.agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("place", F.xxhash64("value").alias("h"))).alias("first")).first()
+    first = F.lit(False) if info["first"] is None else (
+        F.col("place.revision").eqNullSafe(F.lit(info["first"]["place"]["revision"]))
+        & F.col("place.seq").eqNullSafe(F.lit(info["first"]["place"]["seq"])) & (F.xxhash64("value") == F.lit(info["first"]["h"])))
+    others = lines.where(~first).select(F.lit(2).alias("_part"), "place.*", F.concat(F.lit(","), "value").alias("value"))
+    equal = (lines.where(first).groupBy("place", "value").agg(F.count(F.lit(1)).alias("m"))
+                  .select("place", "value", F.explode(F.sequence(F.lit(1), F.col("m"))).alias("i"))
+                  .select(F.lit(1).alias("_part"), "place.*", F.concat(F.when(F.col("i") == 1, F.lit("")).otherwise(F.lit(",")), "value").alias("value")))
+    body = equal.unionByName(others)
     ts = _dt.datetime.fromtimestamp(to_millis(now) / 1000, tz=_dt.timezone.utc)
     head = ('{"exportDate":"' + ts.strftime("%Y-%m-%dT%H:%M:%S.") + f"{ts.microsecond // 1000:03d}Z"
             + f'","version":"{S.EVIDENCE_VERSION}","totalIncidents":{info["n"]},"evidence":[')
-    frame = spark.createDataFrame([(0, 0, 0, head), (2, 0, 0, "]}")],
+    frame = spark.createDataFrame([(0, 0, 0, head), (3, 0, 0, "]}")],
                                   "_part int, revision long, seq long, value string")
-    (body.unionByName(frame).orderBy("_part", "revision", "seq").select("value")
+    # Text sorts last: of the records of the first place the one without a comma comes first.
+    (body.unionByName(frame).orderBy("_part", F.col("value").startswith(","), "revision", "seq").select("value")
          .write.mode("overwrite").text(out))
     return out
 
@@ -98,26 +103,50 @@ def export_csv(df: DataFrame, path: str) -> str | None:
     return None
 
 
-SIZES = T.StructType([T.StructField("rows", T.LongType()), T.StructField("chars", T.LongType())])
+SIZES = T.StructType([T.StructField("rows", T.LongType()), T.StructField("chars", T.LongType()),
+                      T.StructField("batch_id", T.LongType()), T.StructField("before_rows", T.LongType()),
+                      T.StructField("before_chars", T.LongType())])
 
 
 def _size_path(path: str) -> str:
     return f"{path.rstrip('/')}__size"
 
 
-def note_size(spark, path: str, batch_id: int) -> dict:
-    """Book one written batch's size beside the store and check the store's total against
-    the limit: over it is a warning, writes go on (A3 on write). Only the batch's own
-    partition is read back."""
-    batch = read_evidence(spark, path).where(F.col("batch_id") == batch_id)
-    seen = batch.agg(F.count(F.lit(1)).alias("r"), F.sum(utf16_len(record_json(batch))).alias("c")).first()
-    booked = spark.createDataFrame([(seen["r"], seen["c"] or 0)], SIZES).coalesce(1)
-    booked.write.mode("overwrite").parquet(f"{_size_path(path)}/batch_id={int(batch_id)}")
-    t = read_or_empty(spark, SIZES, _size_path(path)).agg(F.sum("rows").alias("r"), F.sum("chars").alias("c")).first()
-    size = 2 if not t["r"] else t["c"] + t["r"] + 1
+def book_size(spark, path: str, batch_id: int, rows: int, chars: int) -> dict:
+    """Book one written batch and check the store's total against the limit: over it is a
+    warning, writes go on (A3 on write).
+
+    One row beside the store holds the totals up to the last batch and before it, so a write reads
+    and replaces that row only; a replayed last batch replaces its own share. A store has one
+    writer at a time."""
+    last = read_or_empty(spark, SIZES, _size_path(path)).first()
+    before = ((0, 0) if last is None else (last["before_rows"], last["before_chars"]) if last["batch_id"] == batch_id
+              else (last["rows"], last["chars"]))
+    total = (before[0] + rows, before[1] + chars)
+    spark.createDataFrame([(*total, int(batch_id), *before)], SIZES).coalesce(1).write.mode("overwrite").option(
+        "partitionOverwriteMode", "static").parquet(_size_path(path))
+    size = 2 if not total[0] else total[1] + total[0] + 1
     if size > S.MAX_STORE_BYTES:
         log.warning("evidence store %s holds %s of %s units", path, size, S.MAX_STORE_BYTES)
-    return {"rows": seen["r"], "size": size, "over_quota": size > S.MAX_STORE_BYTES}
+    return {"rows": rows, "size": size, "over_quota": size > S.MAX_STORE_BYTES}
+
+
+def write_batch(df: DataFrame, path: str, batch_id: int, mode: str = "append") -> dict:
+    """Write records into the store's layout (save date, batch) and book their size. The batch is
+    persisted while it is counted and written, so neither it is computed twice nor the store read.
+    ``overwrite`` replaces the batch's own folders."""
+    held = df.is_cached
+    rows = df if held else df.persist()
+    try:
+        # No Observation: it would leave the session in a state in which MLlib's functions cannot be shipped.
+        seen = rows.agg(F.count(F.lit(1)).alias("rows"), F.sum(utf16_len(record_json(rows))).alias("chars")).first()
+        saved = F.to_date("saved_at") if "saved_at" in rows.columns else F.lit(None).cast("date")
+        (rows.withColumn("saved_date", saved).withColumn("batch_id", F.lit(int(batch_id)).cast("long"))
+             .write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("saved_date", "batch_id").parquet(path))
+    finally:
+        if not held:
+            rows.unpersist()
+    return book_size(df.sparkSession, path, batch_id, seen["rows"], seen["chars"] or 0)
 
 
 def append_evidence(df: DataFrame, path: str) -> dict:
@@ -125,10 +154,7 @@ def append_evidence(df: DataFrame, path: str) -> dict:
     time-bounded reads prune partitions. O(batch) per append. The live job writes
     the same layout under its own ``batch_id``; every append has a negative one of
     its own. Returns ``{rows, size, over_quota}``."""
-    batch_id = -1 - (uuid.uuid4().int >> 66)
-    (df.withColumn("saved_date", F.to_date("saved_at")).withColumn("batch_id", F.lit(batch_id).cast("long"))
-       .write.mode("append").partitionBy("saved_date", "batch_id").parquet(path))
-    return note_size(df.sparkSession, path, batch_id)
+    return write_batch(df, path, -1 - (uuid.uuid4().int >> 66))
 
 
 def clear_store(spark, path: str) -> None:

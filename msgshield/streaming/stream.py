@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from .. import schemas as S
 from ..functions.text import evidence_id
 from ..operators.detect import dedup_first, filter_messages, pending
-from ..sinks.export import note_size
+from ..sinks.export import write_batch
 from ..sources.evidence import read_or_empty
 
 log = logging.getLogger(__name__)
@@ -202,11 +202,7 @@ def score_with_retry(attempts_path: str, scorer, on_scored=None, compact_every:
 
 def _write_evidence(batch: DataFrame, path: str, batch_id: int) -> None:
     """Into the store's own layout (save date, batch); a replay replaces its batch."""
-    saved = F.to_date("saved_at") if "saved_at" in batch.columns else F.lit(None).cast("date")
-    (batch.withColumn("saved_date", saved).withColumn("batch_id", F.lit(int(batch_id)).cast("long"))
-          .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-          .partitionBy("saved_date", "batch_id").parquet(path))
-    note_size(batch.sparkSession, path, batch_id)
+    write_batch(batch, path, batch_id, "overwrite")
 
 
 def dual_write(logs_path: str, evidence_path: str):
@@ -267,6 +263,28 @@ def overwrite_sink(path: str):
     return handle
 
 
+def incident_writer(spark: SparkSession, out_root: str, now, **decide_kw):
+    """``on_scored`` of the live job: decision, evidence record, insertion sequence, incident
+    log and evidence store. A record's ``seq`` is its number in the whole store (see
+    ``operators.sequence``); a replayed batch repeats its numbers."""
+    from ..functions.decision import with_decision
+    from ..operators.evidence import build_evidence, stamp
+    from ..operators.sequence import allocate, numbered
+
+    write = dual_write(f"{out_root}/incident_logs", f"{out_root}/evidence")
+
+    def on_scored(ok: DataFrame, batch_id: int) -> None:
+        flagged = with_decision(ok, **decide_kw).where("is_toxic").persist()
+        try:
+            at = now if now is not None else batch_time(spark, f"{out_root}/batch_times", batch_id)
+            first = allocate(spark, f"{out_root}/evidence__sequence", batch_id, flagged.count())
+            rows = numbered(flagged, ["ord"], ["scope", "id"], first)
+            write(stamp(build_evidence(rows, at), at), batch_id)
+        finally:
+            flagged.unpersist()
+    return on_scored
+
+
 def live_detection(spark: SparkSession, input_path: str, scorer, out_root: str, now,
                    checkpoint: str, available_now: bool = False,
                    max_files_per_trigger: int | None = None, timeout_s: float | None = None, **decide_kw):
@@ -282,17 +300,7 @@ def live_detection(spark: SparkSession, input_path: str, scorer, out_root: str,
     ``incident_logs``, ``evidence``. Returns the finished (available_now) or
     running query.
     """
-    from ..functions.decision import with_decision
-    from ..operators.evidence import build_evidence, stamp
-
-    writer_incidents = dual_write(f"{out_root}/incident_logs", f"{out_root}/evidence")
-
-    def on_scored(ok: DataFrame, batch_id: int) -> None:
-        decided = with_decision(ok, **decide_kw)
-        at = now if now is not None else batch_time(spark, f"{out_root}/batch_times", batch_id)
-        writer_incidents(stamp(build_evidence(decided, at, seq="ord"), at), batch_id)
-
-    handler = score_with_retry(f"{out_root}/attempts", scorer, on_scored=on_scored)
+    handler = score_with_retry(f"{out_root}/attempts", scorer, on_scored=incident_writer(spark, out_root, now, **decide_kw))
     # max_files_per_trigger bounds each micro-batch (and so the keys each
     # batch checks against the attempt history).
     writer = (read_message_stream(spark, input_path, max_files_per_trigger=max_files_per_trigger)
