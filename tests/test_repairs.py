@@ -237,3 +237,20 @@ def test_source_of_odd_urls(spark):
                                   "page_id long, url string, html string")
     got = {r.page_id: r.source for r in extract_messages(pages, ("p.m",)).collect()}
     assert got == {0: "a_b.example.com", 1: "example.com", 2: "example.com", 3: None, 4: None}
+
+
+# ---- S5: headers of any kind ----------------------------------------------------
+
+def test_a_header_that_clashes_with_the_fallback_names_is_loaded(spark, tmp_dir):
+    files = {"train": "a,b,text\nx one,0,old\nx two,1,old\n", "val": "text,Label,label_2\ny,1,z\n", "test": "text,label\nx three,1\n"}
+    for name, body in files.items():
+        with open(os.path.join(tmp_dir, f"{name}.csv"), "w", encoding="utf-8") as f:
+            f.write(body)
+    specs = [(n, os.path.join(tmp_dir, f"{n}.csv")) for n in files] + [("gone", os.path.join(tmp_dir, "gone.csv"))]
+    examples, report = src.load_corpora(spark, specs)
+    status = {r.source_name: (r.status, r.rows) for r in report.collect()}
+    assert status["train"] == ("loaded", 2) and status["test"] == ("loaded", 1) and status["gone"][0] == "failed"
+    rows = {r.text: (r.label, r.text_2) for r in examples.where("source_name = 'train'").collect()}
+    assert rows == {"x one": (0, "old"), "x two": (1, "old")}
+    odd = spark.createDataFrame([("1", "2", "3", "4")], ["a", "b", "Text", "Text_2"])
+    assert src.positional_fallback(odd).columns == ["text", "label", "Text_2_", "Text_2"]
