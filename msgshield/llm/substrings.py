@@ -50,7 +50,7 @@ COMMON_SHARE = 200         # an anchor in over 1 of so many sampled documents is
 MAX_COMMON = 10_000
 _LAST = (1 << 63) - 1
 _CACHE = 700_000
-_TIE_BITS, _NWIN_BITS = 27, 4
+_NWIN_BITS = 4
 _P1, _P2 = np.uint64(0x9E3779B97F4A7C15), 0xC2B2AE3D27D4EB4F
 _POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
@@ -115,9 +115,9 @@ def runs_of(words: list, common: np.ndarray | None = None):
 
 def _base(docs: DataFrame) -> DataFrame:
     """``doc`` orders documents (null last); ``doc, tie`` name a text."""
-    tie = F.hash(F.coalesce("text", F.lit(""))).bitwiseAND((1 << _TIE_BITS) - 1)
+    tie = F.xxhash64(F.coalesce("text", F.lit("")))
     return docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc"),
-                       tie.cast("int").alias("tie"), "text")
+                       tie.alias("tie"), "text")
 
 
 def _words(column) -> list:
@@ -141,8 +141,8 @@ def _common_anchors(base: DataFrame, count: int) -> np.ndarray:
 
 
 def _runs(base: DataFrame, common: np.ndarray) -> DataFrame:
-    """``(anchor, run, doc, pos)``; ``pos`` packs start, a mark for runs that repeat in
-    the batch (they travel under a random anchor), tie and number of windows."""
+    """``(anchor, run, doc, tie, pos)``; ``pos`` packs start, a mark for runs that repeat in
+    the batch (they travel under a random anchor) and number of windows."""
     shared = base.sparkSession.sparkContext.broadcast(common)
 
     def batches(it):
@@ -154,7 +154,7 @@ def _runs(base: DataFrame, common: np.ndarray) -> DataFrame:
             sizes = [len(found[i][0]) for i in which]
             start, windows, anchor, run = (np.concatenate([found[i][c] for i in which]) for c in range(4))
             doc = np.repeat(batch.column(0).to_numpy(zero_copy_only=False)[which], sizes)
-            tie = np.repeat(batch.column(1).to_numpy(zero_copy_only=False)[which], sizes).astype(np.int64)
+            tie = np.repeat(batch.column(1).to_numpy(zero_copy_only=False)[which], sizes)
             order = np.lexsort((start, doc, run, anchor))
             a, r, d, s = anchor[order], run[order], doc[order], start[order]
             new = np.append(True, (a[1:] != a[:-1]) | (r[1:] != r[:-1]))
@@ -162,12 +162,12 @@ def _runs(base: DataFrame, common: np.ndarray) -> DataFrame:
             again = np.empty(len(order), bool)
             again[order] = (d != d[first]) | (s != s[first])
             anchor = np.where(again, _mix(anchor + doc.astype(np.uint64) * _P1 + start.astype(np.uint64)), anchor)
-            pos = (start.astype(np.int64) << 32) | (again.astype(np.int64) << 31) | (tie << _NWIN_BITS) | windows
+            pos = (start.astype(np.int64) << 32) | (again.astype(np.int64) << 31) | windows
             yield pa.RecordBatch.from_arrays(
-                [pa.array(anchor.view(np.int64)), pa.array(run.view(np.int64)), pa.array(doc), pa.array(pos)],
-                ["anchor", "run", "doc", "pos"])
+                [pa.array(anchor.view(np.int64)), pa.array(run.view(np.int64)), pa.array(doc), pa.array(tie), pa.array(pos)],
+                ["anchor", "run", "doc", "tie", "pos"])
 
-    return base.select("doc", "tie", "text").mapInArrow(batches, "anchor long, run long, doc long, pos long")
+    return base.select("doc", "tie", "text").mapInArrow(batches, "anchor long, run long, doc long, tie long, pos long")
 
 
 def _recurring(runs: DataFrame) -> DataFrame:
@@ -181,8 +181,7 @@ def _recurring(runs: DataFrame) -> DataFrame:
                   .withColumn("hot", F.count(F.lit(1)).over(same_anchor) > HOT_RUNS))
     later = marked | (F.col("doc") != F.col("first_doc")) | (start != F.col("first_start"))
     return placed.withColumn("later", later).where("later or several").select(
-        "doc", F.shiftright("pos", _NWIN_BITS).bitwiseAND((1 << _TIE_BITS) - 1).cast("int").alias("tie"),
-        start.cast("int").alias("start"), F.col("pos").bitwiseAND((1 << _NWIN_BITS) - 1).cast("int").alias("windows"),
+        "doc", "tie", start.cast("int").alias("start"), F.col("pos").bitwiseAND((1 << _NWIN_BITS) - 1).cast("int").alias("windows"),
         "anchor", "hot", "later")
 
 
@@ -209,12 +208,12 @@ def _routed(base: DataFrame, candidates: DataFrame) -> DataFrame:
             for i in range(0, len(rows), 10_000):
                 cols = list(zip(*rows[i:i + 10_000]))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32()),
+                    [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()),
                      pa.array(cols[3], pa.int32()), pa.array(cols[4], pa.binary()).cast(pa.string())],
                     ["key", "doc", "tie", "start", "words"])
 
     return base.join(lists, ["doc", "tie"], "left").select("doc_id", "doc", "tie", "text", "runs").mapInArrow(
-        batches, "key long, doc long, tie int, start int, words string")
+        batches, "key long, doc long, tie long, start int, words string")
 
 
 def _letter(number: int) -> str:
@@ -292,7 +291,7 @@ def _located(routed: DataFrame, shards: int) -> DataFrame:
                              "e": np.array([f[2] for f in found], np.int32)})
 
     return routed.groupBy(F.pmod("key", F.lit(shards)).alias("shard")).applyInPandas(
-        one_shard, "doc long, tie int, s int, e int")
+        one_shard, "doc long, tie long, s int, e int")
 
 
 def with_spans(docs: DataFrame) -> DataFrame:

@@ -93,3 +93,15 @@ def test_words_beyond_one_character_each(monkeypatch):
     want = substrings.locate([0, 1, 2], [0, 5, 9], texts, window=3)
     monkeypatch.setattr(substrings, "_LETTERS", 2)
     assert substrings.locate([0, 1, 2], [0, 5, 9], texts, window=3) == want == [(1, 6, 9), (2, 9, 12)]
+
+
+def test_many_texts_without_an_id(spark):
+    """Texts of rows without an id are told apart, however many there are; each keeps its own words."""
+    texts = [" ".join(f"u{i}x{j}" for j in range(2 + i % 29)) for i in range(30_000)]
+    shared = " ".join(f"s{j}" for j in range(22))
+    rows = [(1, shared)] + [(None, t + (" " + shared if i % 1000 == 0 else "")) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    got = substrings.substring_report(df).where("doc_id is null")
+    sums = got.selectExpr("count(*)", "sum(n_words)", "sum(n_removed)", "count(distinct kept_sha256)").first()
+    n = sum(2 + i % 29 for i in range(30_000))
+    assert tuple(sums) == (30_000, n + 30 * 22, 30 * 22, 30_000)
