@@ -10,7 +10,8 @@ indexed. Cell counts (centroids squared, a fixed bound) are the only thing the
 driver holds. Cells are laid out into blocks of about ``BLOCK_ROWS`` vectors, a large
 cell over several, and a block with many queries is met in several portions, so
 a group has a bounded number of rows on either side. Equal vectors are indexed and
-searched once, with the smallest ids they have.
+searched once, with the smallest ids they have. Where a block keeps its best candidates, those
+within ``ROUNDING`` of the last are told apart by the exact cosine and then by id.
 
 Defined results: vectors that are null, empty, zero, of another length than most, or hold
 a null or non-finite component take no part; a null id is no candidate and no query;
@@ -36,6 +37,7 @@ BLOCK_ROWS = 4096
 PORTION_QUERIES = 4096
 ROUNDS = 15
 SEED = 5
+ROUNDING = 1e-9            # more than a product of unit vectors is off
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -112,14 +114,16 @@ def search(vectors: DataFrame, queries, neighbours: int = NEIGHBOURS, centroids:
     members = written(rows.select("vec_id", "same").distinct(), "ann-members")
     few = Window.partitionBy("same").orderBy("vec_id")
     kept = (members.withColumn("n", F.row_number().over(few)).where(F.col("n") <= neighbours + 1))
-    kept = written(kept.groupBy("same").agg(F.min("vec_id").alias("rep"),
-                                            F.array_sort(F.collect_list("vec_id")).alias("ids")), "ann-classes")
-    distinct = written(rows.join(kept, (rows["vec_id"] == kept["rep"]) & (rows["same"] == kept["same"]))
-                           .groupBy("rep").agg(F.first("v").alias("v")), "ann-vectors")
+    # ``rep`` names a vector, ``least`` is its smallest id; an id with several vectors is in several classes.
+    kept = written(kept.groupBy("same").agg(F.min("vec_id").alias("least"),
+                                            F.array_sort(F.collect_list("vec_id")).alias("ids"))
+                       .withColumn("rep", F.monotonically_increasing_id()), "ann-classes")
+    distinct = written(rows.join(kept, (rows["vec_id"] == kept["least"]) & (rows["same"] == kept["same"]))
+                           .groupBy("rep", "least").agg(F.first("v").alias("v")), "ann-vectors")
     wanted = written(members.where(queries).join(kept.select("same", "rep"), "same").select(
         F.col("vec_id").alias("query_id"), "rep"), "ann-queries")
     out = "query_id long, rank int, vec_id long, score double"
-    drawn = distinct.orderBy(F.xxhash64("rep", F.lit(SEED)), "rep").limit(sample_rows).select("v").collect()
+    drawn = distinct.orderBy(F.xxhash64("v", F.lit(SEED)), "least").limit(sample_rows).select("v").collect()
     if not drawn:
         return spark.createDataFrame([], out)
     x = _unit(r["v"] for r in drawn)
@@ -154,7 +158,7 @@ def search(vectors: DataFrame, queries, neighbours: int = NEIGHBOURS, centroids:
                     cell = a * len(two) + b
                     for block in range(first[cell], first[cell] + many[cell]):
                         by_block.setdefault(block, []).append(cell)
-                found += [(rep, u[i], block, cs) for block, cs in by_block.items()]
+                found += [(rep, frame["v"].iloc[i], block, cs) for block, cs in by_block.items()]
             yield pd.DataFrame(found, columns=["rep", "v", "block", "cells"])
 
     asked = (distinct.join(wanted.select("rep").distinct(), "rep")
@@ -177,14 +181,18 @@ def search(vectors: DataFrame, queries, neighbours: int = NEIGHBOURS, centroids:
     def rank(key, have: pd.DataFrame, ask: pd.DataFrame) -> pd.DataFrame:
         if have.empty or ask.empty:
             return pd.DataFrame({"q": [], "c": []})
-        u, reps, cell = _unit(have["v"]), have["rep"].to_numpy(), have["cell"].to_numpy()
+        whole, asked = (np.array(list(side["v"]), np.float64) for side in (have, ask))
+        u, to, reps, least, cell = _unit(whole), _unit(asked), *(have[c].to_numpy() for c in ("rep", "least", "cell"))
         at = pd.Series(range(len(cell))).groupby(cell).indices
         qs, cs = [], []
-        for q, v, cells in zip(ask["rep"], ask["v"], ask["cells"]):
+        for i, (q, cells) in enumerate(zip(ask["rep"], ask["cells"])):
             rows = np.concatenate([at[c] for c in cells if c in at] or [np.zeros(0, np.int64)])
             if len(rows):
-                near = u[rows] @ v
-                best = rows[np.argpartition(-near, take)[:take]] if len(rows) > take else rows
+                best = rows
+                if len(rows) > take:
+                    near = u[rows] @ to[i]
+                    some = rows[near >= np.partition(near, -take)[-take] - ROUNDING]
+                    best = some[np.lexsort((least[some], -_exact(asked[i], whole[some])))[:take]] if len(some) > take else some
                 qs.append(np.full(len(best), q))
                 cs.append(reps[best])
         if not qs:
@@ -193,11 +201,11 @@ def search(vectors: DataFrame, queries, neighbours: int = NEIGHBOURS, centroids:
 
     pairs = there.groupBy("block", "part").cogroup(asked.groupBy("block", "part")).applyInPandas(rank, "q long, c long")
     score = _cosine("qv", "cv")
-    best = Window.partitionBy("q").orderBy(F.desc("score"), "c")
+    best = Window.partitionBy("q").orderBy(F.desc("score"), "least")
     ranked = (pairs.join(distinct.select(F.col("rep").alias("q"), F.col("v").alias("qv")), "q")
-                   .join(distinct.select(F.col("rep").alias("c"), F.col("v").alias("cv")), "c")
-                   .withColumn("score", score).select("q", "c", "score"))
-    classes = (ranked.withColumn("n", F.row_number().over(best)).where(F.col("n") <= take).drop("n"))
+                   .join(distinct.select(F.col("rep").alias("c"), "least", F.col("v").alias("cv")), "c")
+                   .withColumn("score", score).select("q", "c", "least", "score"))
+    classes = ranked.withColumn("n", F.row_number().over(best)).where(F.col("n") <= take).drop("n", "least")
     classes = written(classes.join(kept.select(F.col("rep").alias("c"), "ids"), "c"), "ann-found")
     each = (wanted.join(classes, wanted["rep"] == classes["q"])
                   .select("query_id", "score", F.explode("ids").alias("vec_id")).where("vec_id <> query_id"))
@@ -206,6 +214,13 @@ def search(vectors: DataFrame, queries, neighbours: int = NEIGHBOURS, centroids:
                 .select("query_id", "rank", "vec_id", "score"))
 
 
+def _exact(q: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """:func:`_cosine` of ``q`` and every row, summed in the same order."""
+    def total(x):
+        return np.cumsum(x, axis=-1)[..., -1]
+    return total(rows * q) / (np.sqrt(total(q * q)) * np.sqrt(total(rows * rows)))
+
+
 def _cosine(a: str, b: str):
     """Cosine in double precision, summed in the order of the components."""
     def total(x):

@@ -69,3 +69,22 @@ def test_few_and_no_vectors(spark):
     assert nearest.search(spark.createDataFrame([], schema), F.lit(True)).count() == 0
     two = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0])], schema)
     assert [(r.query_id, r.rank, r.vec_id, r.score) for r in nearest.search(two, F.col("vec_id") == 0).collect()] == [(0, 1, 1, 0.0)]
+
+
+def test_one_id_with_two_vectors(spark):
+    rows = [(0, [1.0, 0.0, 0.5, 0.25]), (1, [1.0, 0.01, 0.5, 0.25]), (1, [-5.0, 3.0, 0.5, 0.25]),
+            (2, [-5.0, 3.0, 0.5, 0.25]), (3, [0.0, 1.0, 0.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {(r.vec_id, round(r.score, 3)) for r in nearest.search(df, F.col("vec_id") == 0, visit=1.0).collect()}
+    cos = lambda a, b: round(float(np.dot(a, b) / np.linalg.norm(a) / np.linalg.norm(b)), 3)
+    assert got == {(i, cos(rows[0][1], v)) for i, v in rows[1:]}
+
+
+def test_scaled_copies_tie_by_id(spark):
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=6)
+    data = [(1000 - i, (base * 2.0 ** (i % 40)).tolist()) for i in range(400)]
+    data += [(2000 + i, rng.normal(size=6).tolist()) for i in range(200)]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>").repartition(7)
+    rows = nearest.search(df, F.col("vec_id") == 1000, visit=1.0).orderBy("rank").collect()
+    assert [r.vec_id for r in rows] == [601, 602, 603, 604, 605]
