@@ -13,7 +13,7 @@ a source, so no source is ever in one task.
 
 Defined results: null text has size 0; null source is a source of its own, last in
 order; rows that agree in id, source and size are one unit and get the
-same number of copies; sources without words get target 0; empty input gives
+same number of copies; sources without words get target 0 and no copies; empty input gives
 no rows. Only DataFrame functions are used.
 """
 
@@ -82,7 +82,8 @@ def _take_while_fits(units: DataFrame, room: DataFrame) -> DataFrame:
     inside = (Window.partitionBy("skey", "bucket").orderBy("h", "doc_id", "size")
                     .rowsBetween(Window.unboundedPreceding, 0))
     return (units.join(plan, ["skey", "bucket"])
-                 .withColumn("fits", F.col("_before") + F.sum("words").over(inside) <= F.col("room"))
+                 .withColumn("fits", (F.col("room") > 0)      # a source without room takes no empty documents either
+                             & (F.col("_before") + F.sum("words").over(inside) <= F.col("room")))
                  .drop("_before", "room"))
 
 

@@ -14,7 +14,7 @@ def _mix_sql() -> str:
         source, room = ("units", "plan") if not i else (f"left{i - 1}", f"room{i}")
         passes += f""",
 run{i} AS (SELECT u.*, r.room, sum(words) OVER (PARTITION BY u.skey ORDER BY h, doc_id NULLS FIRST, size
-        ROWS UNBOUNDED PRECEDING) <= r.room AS fits FROM {source} u JOIN {room} r USING (skey)),
+        ROWS UNBOUNDED PRECEDING) <= r.room AND r.room > 0 AS fits FROM {source} u JOIN {room} r USING (skey)),
 room{i + 1} AS (SELECT r.skey, r.room - coalesce(x.used, 0) AS room FROM {room} r LEFT JOIN
         (SELECT skey, sum(words) AS used FROM run{i} WHERE fits GROUP BY 1) x USING (skey)),
 left{i} AS (SELECT q.* EXCLUDE (room, fits) FROM run{i} q JOIN room{i + 1} n USING (skey)

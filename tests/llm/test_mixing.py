@@ -57,3 +57,13 @@ def test_mix_repeats_documents_as_planned(spark):
     twice = {1: 2}
     assert got == {k: c * twice.get(k[0], 1) for k, c in plan.items() if c}
     assert mixing.mix(empty_docs(spark)).count() == 0
+
+
+def test_documents_without_words_keep_the_cap(spark):
+    """A source at its cap has no room: its empty documents come no more often than the others."""
+    rows = [(i, "w " * 10, "en", "a", 20) for i in range(3)] + [(10 + i, "", "en", "a", 0) for i in range(4)]
+    rows += [(100 + i, "w " * 10, "en", "b", 20) for i in range(300)] + [(900, "", "en", "c", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int")
+    copies = {r.doc_id: r.copies for r in mixing.mix_report(docs).collect()}
+    assert {copies[i] for i in (0, 1, 2, 10, 11, 12, 13)} == {3} and max(copies.values()) == 3 and copies[900] == 0
+    assert mixing.mix(docs).where("doc_id < 100").groupBy("doc_id").count().where("count <> 3").count() == 0
