@@ -7,7 +7,8 @@ is penalised, so that a group's name alone does not move a score. Identity
 terms are always features, else the penalty would have nothing to hold.
 
 Fitting: at most ``SAMPLE_ROWS`` labelled rows, drawn by a seeded hash over all
-labels, are used (the bound the driver holds). Features are counted on the cluster; those
+labels, are used (documents that repeat a drawn id count as well; the driver holds
+at most twice as many). Features are counted on the cluster; those
 whose association with the label is significant (G test, ``LEAST_G``) are kept, ``MAX_FEATURES`` at
 most, so the model's size is bounded and can be broadcast. Scoring is one pass
 over whole texts without a shuffle.
@@ -65,7 +66,7 @@ IDENTITY_GROUPS = (
     ("mujeres", "hombres", "niñas", "niños"),
     ("cristianos", "musulmanes", "judíos", "hindúes", "budistas", "ateos"),
 )
-_GROUP_OF = {t: g for g in IDENTITY_GROUPS for t in g}
+_GROUPS_OF = {t: [g for g in IDENTITY_GROUPS if t in g] for group in IDENTITY_GROUPS for t in group}
 
 
 def plain(word: str) -> str:
@@ -79,11 +80,12 @@ def features_of(word: str) -> list[str]:
 
 
 def swapped(words: set[str], rng: random.Random) -> set[str] | None:
-    """The words with every identity term swapped within its group; None if there is none."""
-    found = words & _GROUP_OF.keys()
+    """The words with every identity term swapped within its group, a term of several groups (of several
+    languages or numbers) within one drawn; None if there is none."""
+    found = words & _GROUPS_OF.keys()
     if not found:
         return None
-    return (words - found) | {rng.choice([o for o in _GROUP_OF[t] if o != t]) for t in sorted(found)}
+    return (words - found) | {rng.choice([o for o in rng.choice(_GROUPS_OF[t]) if o != t]) for t in sorted(found)}
 
 
 def _words(text: str | None) -> set[str]:
@@ -223,7 +225,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, max_feature
     prepare(docs.sparkSession)
     sample = written(_sample(docs, labels, rows), "toxicity-sample")
     names = _choose(_count_features(sample), max_features, least_g)
-    names += sorted(_GROUP_OF.keys() - set(names))      # whole terms: their prefixes open ordinary words
+    names += sorted(_GROUPS_OF.keys() - set(names))      # whole terms: their prefixes open ordinary words
     encoded = _encode(sample, {f: i for i, f in enumerate(names)}).limit(2 * rows).collect()
     if not encoded:
         return ToxicityModel()

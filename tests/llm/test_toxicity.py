@@ -66,3 +66,11 @@ def test_score_is_the_logistic_of_present_features():
     m = toxicity.ToxicityModel(-1.0, {"idiot": 3.0, "idio*": 0.5, "loser": 2.0})
     assert m.score("An IDIOT!! idiot,") == pytest.approx(1 / (1 + math.exp(-2.5)))
     assert m.score(None) == m.score("") == pytest.approx(1 / (1 + math.e))
+
+
+def test_a_term_of_several_groups_is_swapped_in_each(spark):
+    import random
+    drawn = {next(iter(toxicity.swapped({"hindus"}, random.Random(i)))) for i in range(200)}
+    assert {"christians", "christen"} <= drawn and "hindus" not in drawn
+    drawn = {next(iter(toxicity.swapped({"mädchen"}, random.Random(i)))) for i in range(200)}
+    assert {"frau", "frauen"} <= drawn
