@@ -55,9 +55,13 @@ def sketch_string(sketch) -> Column:
     return F.array_join(F.transform(sketch, lambda x: F.lower(F.lpad(F.hex(x), DIGITS, "0"))), "")
 
 
-def merge(a, b) -> Column:
-    """Sketch of the union of two documents' shingles."""
-    return F.array_sort(F.array_union(a, b))
+def merge(a, b, retain: int = RETAIN) -> Column:
+    """Sketch of the union of two documents' shingles: a text's least hash, kept where it has none
+    below the threshold, goes where the other text has one."""
+    digits = format(retain, "x")
+    both = F.array_sort(F.array_union(a, b))
+    below = F.filter(both, lambda x: x < F.lit(retain << 4 * (DIGITS - len(digits))))
+    return F.when(F.size(below) > 0, below).otherwise(F.slice(both, 1, 1))
 
 
 def containment(a, b) -> Column:

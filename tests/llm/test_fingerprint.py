@@ -57,3 +57,18 @@ def test_sketches_merge_and_estimate_containment(spark):
     r = df.select(fingerprint.containment("s_b", "s_a"), fingerprint.containment("s_a", "s_b"),
                   fingerprint.merge("s_a", "s_c"), "s_whole").first()
     assert r[0] == 1.0 and r[1] == pytest.approx(0.1, abs=0.04) and r[2] == r[3]
+
+
+def test_merge_with_a_text_that_keeps_only_its_least_hash(spark):
+    """One-word texts have one hash, mostly above the threshold; with others it goes as in the union's sketch."""
+    from pyspark.sql import functions as F
+    from pyspark.sql import Row
+    few = [Row(a=f"only{i}", b=f"other{i}") for i in range(40)]
+    df = fingerprint.with_sketch(fingerprint.with_sketch(spark.createDataFrame(few), "a", "sa"), "b", "sb")
+    rows = df.select("sa", "sb", fingerprint.merge("sa", "sb").alias("m")).collect()
+    limit = fingerprint.RETAIN << 4 * (fingerprint.DIGITS - 1)
+    for r in rows:
+        both = sorted(set(r.sa) | set(r.sb))
+        assert list(r.m) == ([x for x in both if x < limit] or both[:1])
+    assert any(len(r.m) == 1 for r in rows) and spark.range(1).select(
+        F.size(fingerprint.merge(F.array().cast("array<long>"), F.array().cast("array<long>")))).first()[0] == 0
