@@ -20,10 +20,10 @@ from ..functions.text import evidence_id, utf16_len, with_fixed_tokens
 from ..operators import corpus as corp
 from ..operators import detect, evidence as ev_ops, metrics, report as rep, scoring, stats
 from ..session import read_table, scratch_path
-from ..sinks import export as sink
+from ..sinks import export as sink, upkeep
 from ..sources import corpus as src
 from ..sources import html as html_src
-from ..sources.evidence import read_evidence
+from ..sources.evidence import STORED, read_evidence
 from ..streaming import stream as st, timed
 from . import fixtures as fx
 
@@ -579,6 +579,24 @@ def q_clear_store(spark, sf_dir):
     return read_evidence(spark, path).agg(F.lit(before).cast("long").alias("before"), F.count(F.lit(1)).alias("after"))
 
 
+@register("delete_stored")
+def q_delete_stored(spark, sf_dir):
+    """Records left by a deletion, as read under its tombstones and after they were folded."""
+    path = _stored(spark, sf_dir)
+    upkeep.delete_stored(spark, path, fx.delete_ids(spark, sf_dir), fx.NOW, "labelled-toxic")
+    before = read_evidence(spark, path).select(F.lit("tombstones").alias("state"), "id", "seq").checkpoint()
+    upkeep.fold_deletes(spark, path)
+    return before.unionByName(read_evidence(spark, path).select(F.lit("folded").alias("state"), "id", "seq"))
+
+
+@register("find_stored")
+def q_find_stored(spark, sf_dir):
+    """The store's first record of the smallest id of every severity."""
+    path = _stored(spark, sf_dir)
+    ids = read_evidence(spark, path).groupBy("severity").agg(F.min("id").alias("id")).collect()   # one per severity
+    return upkeep.find_stored(spark, path, [r["id"] for r in ids]).select("id", "seq", "severity")
+
+
 # ---------------------------------------------------------------------------
 # Streaming: S7, T1–T5 (availableNow runs, compared with the batch oracle)
 # ---------------------------------------------------------------------------
@@ -683,6 +701,15 @@ def q_stream_stats(spark, sf_dir):
     return spark.read.parquet(out).select("severity", "n")
 
 
+@register("stream_store_stats")
+def q_stream_store_stats(spark, sf_dir):
+    out, ck = scratch_path(spark, "out"), scratch_path(spark, "ck")
+    records = spark.readStream.schema(STORED).option("maxFilesPerTrigger", 4).parquet(_stored(spark, sf_dir))
+    live = st.stream_store_stats(records, fields=STRING_FIELDS)
+    st.run_to_completion(live.writeStream.outputMode("update").foreachBatch(st.overwrite_sink(out)).option("checkpointLocation", ck))
+    return spark.read.parquet(out).withColumns({"oldest": _ms("oldest"), "newest": _ms("newest")})
+
+
 # ---------------------------------------------------------------------------
 # Extraction: S6 (rows-only: no HTML parser in the oracle engine)
 # ---------------------------------------------------------------------------
@@ -702,3 +729,12 @@ def q_extract_counts(spark, sf_dir):
     pages = read_table(spark, sf_dir, "pages")
     found = html_src.extract_messages(pages, ("article",))
     return found.groupBy("page_id", "source").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("extract_lateral")
+def q_extract_lateral(spark, sf_dir):
+    """Extraction as a table function of SQL, counted like ``extract_counts``."""
+    html_src.register_udtf(spark, "extract_articles", ("article",))
+    pages = read_table(spark, sf_dir, "pages")
+    found = spark.sql("SELECT p.page_id, p.url FROM {pages} p, LATERAL extract_articles(p.html) m", pages=pages)
+    return found.groupBy("page_id", html_src.url_host(F.col("url")).alias("source")).agg(F.count(F.lit(1)).alias("n"))

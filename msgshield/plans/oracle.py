@@ -466,3 +466,12 @@ ORACLE["extract_counts"] = """
 SELECT page_id, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)', 1)) AS source,
        CAST(len(regexp_extract_all(html, '<article[ >]')) AS BIGINT) AS n
 FROM pages WHERE regexp_matches(html, '<article[ >]')"""
+
+ORACLE["extract_lateral"] = ORACLE["extract_counts"]
+ORACLE["stream_store_stats"] = ORACLE["store_stats"]
+ORACLE["delete_stored"] = f"""
+WITH {EVIDENCE}, ids AS (SELECT sha256(text) AS id FROM documents JOIN labels USING (doc_id) WHERE toxic = 1)
+SELECT state, id, seq FROM ev, (VALUES ('tombstones'), ('folded')) s(state) WHERE id NOT IN (SELECT id FROM ids)"""
+ORACLE["find_stored"] = f"""
+WITH {EVIDENCE}, asked AS (SELECT severity, min(id) AS id FROM ev GROUP BY severity)
+SELECT id, min(seq) AS seq, arg_min(severity, seq) AS severity FROM ev WHERE id IN (SELECT id FROM asked) GROUP BY id"""

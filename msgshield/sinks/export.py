@@ -16,7 +16,7 @@ from .. import schemas as S
 from ..functions.timeutil import iso_utc, to_millis, ts_lit
 from ..functions.text import utf16_len
 from ..operators.stats import record_json
-from ..sources.evidence import read_or_empty
+from ..sources.evidence import GONE, gone_path, read_or_empty
 
 log = logging.getLogger(__name__)
 
@@ -131,6 +131,14 @@ def book_size(spark, path: str, batch_id: int, rows: int, chars: int) -> dict:
     return {"rows": rows, "size": size, "over_quota": size > S.MAX_STORE_BYTES}
 
 
+def store_writer(rows: DataFrame):
+    """Writer of the store's layout for ``rows`` with ``saved_date`` and ``batch_id``. Files are sorted by id
+    (the sort by folder is needed anyway) and carry a Bloom filter on it, so a lookup skips row groups."""
+    return (rows.sortWithinPartitions("saved_date", "batch_id", "id").write
+                .option("partitionOverwriteMode", "dynamic").option("parquet.bloom.filter.enabled#id", "true")
+                .option("parquet.bloom.filter.adaptive.enabled", "true").partitionBy("saved_date", "batch_id"))
+
+
 def write_batch(df: DataFrame, path: str, batch_id: int, mode: str = "append") -> dict:
     """Write records into the store's layout (save date, batch) and book their size. The batch is
     persisted while it is counted and written, so neither it is computed twice nor the store read.
@@ -141,8 +149,8 @@ def write_batch(df: DataFrame, path: str, batch_id: int, mode: str = "append") -
         # No Observation: it would leave the session in a state in which MLlib's functions cannot be shipped.
         seen = rows.agg(F.count(F.lit(1)).alias("rows"), F.sum(utf16_len(record_json(rows))).alias("chars")).first()
         saved = F.to_date("saved_at") if "saved_at" in rows.columns else F.lit(None).cast("date")
-        (rows.withColumn("saved_date", saved).withColumn("batch_id", F.lit(int(batch_id)).cast("long"))
-             .write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("saved_date", "batch_id").parquet(path))
+        store_writer(rows.withColumn("saved_date", saved).withColumn("batch_id", F.lit(int(batch_id)).cast("long"))
+                     ).mode(mode).parquet(path)
     finally:
         if not held:
             rows.unpersist()
@@ -164,5 +172,5 @@ def clear_store(spark, path: str) -> None:
         "batch_id", F.lit(-1).cast("long"))
     (empty.write.mode("overwrite").option("partitionOverwriteMode", "static")
           .partitionBy("saved_date", "batch_id").parquet(path))
-    (spark.createDataFrame([], SIZES).write.mode("overwrite").option("partitionOverwriteMode", "static")
-          .parquet(_size_path(path)))
+    for beside, schema in ((_size_path(path), SIZES), (gone_path(path), GONE)):
+        spark.createDataFrame([], schema).write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(beside)

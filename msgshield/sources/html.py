@@ -253,6 +253,19 @@ def extract_messages(pages: DataFrame, rules=REFERENCE_RULES, id_col: str = "pag
                         "rule_idx", "node_idx", "text")
 
 
+def register_udtf(spark, name: str = "extract_messages", rules=REFERENCE_RULES) -> None:
+    """Make extraction a table function of SQL: ``SELECT p.page_id, m.* FROM pages p, LATERAL
+    extract_messages(p.html) m`` gives ``(rule_idx, node_idx, text)`` per matched element; a null page gives none."""
+    from pyspark.sql.functions import udtf
+    parsed = [parse_selector(r) for r in rules]
+
+    class Extract:
+        def eval(self, html):
+            yield from extract_from_html(html, parsed)
+
+    spark.udtf.register(name, udtf(Extract, returnType="rule_idx int, node_idx int, text string", useArrow=True))
+
+
 def page_messages(pages: DataFrame, rules=REFERENCE_RULES) -> DataFrame:
     """Extraction followed by the message filter (trim, >= 5 UTF-16 units),
     shaped as MESSAGE rows: scope = page, ord = (rule, node) order."""

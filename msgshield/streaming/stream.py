@@ -124,10 +124,30 @@ def _snapshot_path(attempts_path: str, upto: int) -> str:
     return f"{attempts_path.rstrip('/')}__ok/upto={upto}"
 
 
-def _read_ok_snapshot(spark: SparkSession, attempts_path: str, upto: int) -> DataFrame:
+OK_BUCKETS = 256           # folders of a snapshot of successful keys, by hash of the id
+
+
+def _bucket(c="id"):
+    return F.pmod(F.xxhash64(c), F.lit(OK_BUCKETS)).cast("int")
+
+
+def _read_ok_snapshot(spark: SparkSession, attempts_path: str, upto: int, buckets=None) -> DataFrame:
+    """Successful keys up to a batch; with ``buckets`` only those folders are read."""
     if upto < 0:
         return spark.createDataFrame([], OK_KEYS)
-    return spark.read.schema(OK_KEYS).parquet(_snapshot_path(attempts_path, upto))
+    keys = spark.read.schema(T.StructType(OK_KEYS.fields + [T.StructField("bucket", T.IntegerType())])).parquet(
+        _snapshot_path(attempts_path, upto))
+    if buckets is not None:            # null: a snapshot from before there were buckets
+        keys = keys.where(F.col("bucket").isin(list(buckets)) | F.col("bucket").isNull())
+    return keys.select("scope", "id")
+
+
+def _write_ok_snapshot(keys: DataFrame, attempts_path: str, upto: int) -> None:
+    """One folder per bucket, sorted by id and with a Bloom filter on it."""
+    (keys.withColumn("bucket", _bucket()).hint("rebalance", "bucket").sortWithinPartitions("bucket", "id")
+         .write.mode("overwrite").option("partitionOverwriteMode", "static")
+         .option("parquet.bloom.filter.enabled#id", "true").option("parquet.bloom.filter.adaptive.enabled", "true")
+         .partitionBy("bucket").parquet(_snapshot_path(attempts_path, upto)))
 
 
 def _ok_attempts(spark: SparkSession, attempts_path: str, after: int, before: int) -> DataFrame:
@@ -161,8 +181,9 @@ def score_with_retry(attempts_path: str, scorer, on_scored=None, compact_every:
     snapshot + the batches since) as a snapshot; later batches read that
     snapshot plus only the folders of the batches after it. Snapshot positions
     follow from the batch id alone, and rewriting one on replay gives the same
-    rows, so the history read per batch stays one row per successful key
-    plus at most ``compact_every`` recent batches.
+    rows. A snapshot lies in ``OK_BUCKETS`` folders by hash of the id and a batch reads those of
+    its own messages (at most ``OK_BUCKETS`` numbers reach the driver), plus at most
+    ``compact_every`` recent batches.
     """
     waiting_path = _waiting_path(attempts_path)
 
@@ -176,16 +197,18 @@ def score_with_retry(attempts_path: str, scorer, on_scored=None, compact_every:
                 keys = (_read_ok_snapshot(spark, attempts_path, prev)
                         .unionByName(_ok_attempts(spark, attempts_path, prev, snap + 1))
                         .distinct())
-                keys.write.mode("overwrite").parquet(_snapshot_path(attempts_path, snap))
-        done = (_read_ok_snapshot(spark, attempts_path, snap)
-                .unionByName(_ok_attempts(spark, attempts_path, snap, batch_id))
-                .withColumn("status", F.lit("ok")))
+                _write_ok_snapshot(keys, attempts_path, snap)
         waiting = read_batches(spark, waiting_path, WAITING, [batch_id - 1]).drop("batch_id")
         arrived = filter_messages(batch).select("scope", "source", "text", "ord").unionByName(
             waiting.select("scope", "source", "text", "ord"))
         tries = waiting.groupBy("scope", "id").agg(F.max("attempt").alias("_tries"))
         msgs = (dedup_first(arrived).join(tries, ["scope", "id"], "left")
                 .withColumn("attempt", (F.coalesce("_tries", F.lit(0)) + 1).cast("int")).drop("_tries"))
+        msgs = msgs.persist()
+        buckets = sorted(r[0] for r in msgs.select(_bucket()).distinct().collect()) if snap >= 0 else []
+        done = (_read_ok_snapshot(spark, attempts_path, snap, buckets)
+                .unionByName(_ok_attempts(spark, attempts_path, snap, batch_id))
+                .withColumn("status", F.lit("ok")))
         todo = pending(msgs, done).persist()
         try:
             scored = scorer(todo).persist()
@@ -197,6 +220,7 @@ def score_with_retry(attempts_path: str, scorer, on_scored=None, compact_every:
             scored.unpersist()
         finally:
             todo.unpersist()
+            msgs.unpersist()
     return handle
 
 
@@ -256,6 +280,17 @@ def stream_stats(df: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n"))
 
 
+def stream_store_stats(records: DataFrame, fields=None, repeats: bool = False) -> DataFrame:
+    """Live statistics of a growing store (T5): the one row of ``operators.stats.store_stats`` so far, in update
+    or complete mode. Count, size, severities and the first and last record by insertion sequence are partial
+    aggregates, and the state is that one row. Where batches may be replayed into the stream, ``repeats`` drops
+    records whose ``(revision, seq)`` was seen (state: the two numbers of every record)."""
+    from ..operators.stats import store_stats
+    if repeats:
+        records = records.dropDuplicates(["revision", "seq"])
+    return store_stats(records, fields)
+
+
 def overwrite_sink(path: str):
     """``foreachBatch`` handler replacing a small aggregate table each batch."""
     def handle(batch: DataFrame, batch_id: int) -> None:
