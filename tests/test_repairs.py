@@ -254,3 +254,12 @@ def test_a_header_that_clashes_with_the_fallback_names_is_loaded(spark, tmp_dir)
     assert rows == {"x one": (0, "old"), "x two": (1, "old")}
     odd = spark.createDataFrame([("1", "2", "3", "4")], ["a", "b", "Text", "Text_2"])
     assert src.positional_fallback(odd).columns == ["text", "label", "Text_2_", "Text_2"]
+
+
+def test_landed_files_follow_the_inputs_partitions(spark, tmp_dir):
+    """A stream's input is landed by the tasks that read it, not gathered in four."""
+    from msgshield.plans import catalog
+    msgs = spark.range(1000).repartition(12).selectExpr("'en' scope", "'s' source", "concat('text ', id) text", "id ord")
+    catalog._land_files(msgs, f"{tmp_dir}/in")
+    landed = spark.read.parquet(f"{tmp_dir}/in")
+    assert len(landed.inputFiles()) == 12 and sorted(r.ord for r in landed.collect()) == list(range(1000))
