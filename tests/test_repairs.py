@@ -256,6 +256,29 @@ def test_a_header_that_clashes_with_the_fallback_names_is_loaded(spark, tmp_dir)
     assert src.positional_fallback(odd).columns == ["text", "label", "Text_2_", "Text_2"]
 
 
+def test_optimiser_passes_do_not_grow_with_small_partitions(spark, monkeypatch):
+    """Every pass shuffles a gradient per partition, so passes run over a task per core (or by bytes), all rows in them."""
+    seen = []
+
+    class Seen:
+        def __init__(self, inner):
+            self.inner = inner
+
+        def fit(self, df):
+            seen.append((df.rdd.getNumPartitions(), df.count()))
+            return self.inner.fit(df)
+
+    plain = scoring.classifier
+    monkeypatch.setattr(scoring, "classifier", lambda *a: Seen(plain(*a)))
+    train = spark.createDataFrame([(f"w{i % 7} w{i % 5} x", i % 2) for i in range(300)], "text string, label int").repartition(60)
+    scoring.fit_scorer(train, train, grid=({"regParam": 0.1},), num_features=64)
+    scoring.fit_scorer(train, train, grid=({"regParam": 0.1},), num_features=64, partitions=9)
+    monkeypatch.setattr(scoring, "PASS_BYTES", 100)
+    scoring.fit_scorer(train, train, grid=({"regParam": 0.1},), num_features=64)
+    size = sum(len(f"w{i % 7} w{i % 5} x") for i in range(300))
+    assert seen == [(spark.sparkContext.defaultParallelism, 300), (9, 300), (-(-size // 100), 300)]
+
+
 def test_landed_files_follow_the_inputs_partitions(spark, tmp_dir):
     """A stream's input is landed by the tasks that read it, not gathered in four."""
     from msgshield.plans import catalog
