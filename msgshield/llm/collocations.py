@@ -1,17 +1,19 @@
 """Phrase collocations by set-oriented mining (SETM): occurrence relations and merge joins.
 
 Pieces of text (between sentence marks and line ends) are lists of words. The relation of
-occurrences ``R1(piece, pos, g)`` of frequent words is written once, bucketed by piece and sorted
+occurrences ``R1(piece, pos, g1)`` of frequent words is written once, bucketed by piece and sorted
 by (piece, pos). Phrases of k words extend those of k - 1:
 
 - merge join: ``R(k-1)`` meets ``R1`` on the piece and the adjacent position; both are bucketed by
-  piece, so nothing is shuffled;
-- group count: occurrences per (phrase, next word), with map-side sums; ``least`` and more stay;
+  piece and in order, so nothing is shuffled (``Rk`` holds the position after its last word);
+- group count: occurrences per phrase, with map-side sums; ``least`` and more stay;
 - semi-join: only occurrences of frequent phrases are written as ``Rk``, again sorted, and extended.
+  Phrases are looked up in a bitmap of fixed size, so a few of others are extended as well; the next
+  group count leaves none of them.
 
-Words and phrases are named by numbers of their frequency tables, so occurrences carry no text. A
-frequency table is broadcast to the semi-join when a count and a byte sum show it to be small
-(``BROADCAST_ROWS``, ``BROADCAST_BYTES``); beyond that the same join is shuffled. Everything is
+Words are named by numbers of their frequency table and phrases by those of their words, so
+occurrences carry no text. The words' table is broadcast when a count and a byte sum show it to be
+small (``BROADCAST_ROWS``, ``BROADCAST_BYTES``); beyond that the same join is shuffled. Everything is
 counted per language, a word of two languages is two words.
 
 Scores are exact: products are decimals of 38 digits (enough for counts up to 10 ** 16).
@@ -33,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import scratch_path
-from .common import prepare, written
+from .common import cleaning_up, prepare, written
 
 MAX_WORDS = 3
 LEAST = 10                    # occurrences of a candidate
@@ -41,6 +43,7 @@ SHARE = 50                    # percent of a phrase's occurrences that a longer
 TOP = 2000                    # phrases reported per language
 BROADCAST_ROWS, BROADCAST_BYTES = 1 << 20, 1 << 25
 BUCKET_ROWS = 1 << 21         # occurrences of a bucket
+BITMAP_BITS, ROW_BITS = 1 << 26, 1 << 15   # of frequent phrases: 8 MiB whatever their number, in rows of 4 KiB
 _OUT_ROWS = 1 << 17           # occurrences of an Arrow batch
 _CLEAN = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz" + b"\n" * 9)
 
@@ -51,16 +54,23 @@ def pieces_of(text: bytes) -> list[list[bytes]]:
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """``(lang, word, n)``: occurrences of every word; summed per batch before the shuffle."""
+    """``(lang, word, n)``: occurrences of every word; summed per ``_OUT_ROWS`` distinct ones before the shuffle."""
     def batches(it):
-        for batch in it:
-            counts = defaultdict(Counter)
-            for text, lang in zip(batch.column(0).cast(pa.binary()).to_pylist(), batch.column(1).to_pylist()):
-                counts[lang].update(chain.from_iterable(pieces_of(text)))
+        counts = defaultdict(Counter)
+
+        def out():
             for lang, of in counts.items():
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([lang] * len(of), pa.string()), pa.array(list(of), pa.binary()).cast(pa.string()),
                      pa.array(list(of.values()), pa.int64())], ["lang", "word", "n"])
+            counts.clear()
+
+        for batch in it:
+            for text, lang in zip(batch.column(0).cast(pa.binary()).to_pylist(), batch.column(1).to_pylist()):
+                counts[lang].update(chain.from_iterable(pieces_of(text)))
+            if sum(map(len, counts.values())) > _OUT_ROWS:
+                yield from out()
+        yield from out()
 
     rows = docs.mapInArrow(batches, "lang string, word string, n long")
     return rows.groupBy("lang", "word").agg(F.sum("n").alias("n"))
@@ -115,8 +125,9 @@ class _Relations:
     def write(self, df: DataFrame, k: int) -> DataFrame:
         name = f"occurrences_{self.run}_{k}"
         self.names.append(name)
-        (df.write.format("parquet").option("path", scratch_path(self.spark, name)).bucketBy(self.buckets, "piece")
-           .sortBy("piece", "pos").saveAsTable(name))
+        with cleaning_up(self.spark):
+            (df.write.format("parquet").option("path", scratch_path(self.spark, name)).bucketBy(self.buckets, "piece")
+               .sortBy("piece", "pos").saveAsTable(name))
         return self.spark.table(name)
 
     def drop(self) -> None:
@@ -125,45 +136,69 @@ class _Relations:
 
 
 def _extended(longer: DataFrame, words: DataFrame, k: int) -> DataFrame:
-    """``(piece, pos, g, w)``: phrases of ``k - 1`` words with the word at the next position."""
+    """``(piece, pos, g1, ..., gk)``: phrases of ``k - 1`` words, whose ``pos`` is the one after their last word, with
+    the word that is there; ``pos`` moves on."""
     a, b = longer.alias("a"), words.alias("b").hint("merge")
-    return a.join(b, (F.col("a.piece") == F.col("b.piece")) & (F.col("a.pos") + (k - 1) == F.col("b.pos"))).select(
-        "a.piece", "a.pos", "a.g", F.col("b.g").alias("w"))
+    return a.join(b, (F.col("a.piece") == F.col("b.piece")) & (F.col("a.pos") == F.col("b.pos"))).select(
+        "a.piece", (F.col("a.pos") + 1).alias("pos"), *[f"a.g{i}" for i in range(1, k)], F.col("b.g1").alias(f"g{k}"))
+
+
+def _may_be_in(df: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
+    """Semi-join by a bitmap of fixed size, which is broadcast: all rows whose keys are in ``table``, and a few others
+    (a fuller bitmap lets more through, never fewer)."""
+    def at(rows):
+        slot = F.pmod(F.xxhash64(*keys), F.lit(BITMAP_BITS))
+        return rows.withColumn("_slot", slot).withColumn("_row", F.shiftright("_slot", ROW_BITS.bit_length() - 1).cast("int"))
+
+    long = F.pmod(F.shiftright("_slot", 6), F.lit(ROW_BITS // 64)).cast("int")
+    bit = F.expr("cast(_slot & 63 as int)")
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), bit)
+    none = df.sparkSession.range(BITMAP_BITS // 64).select(
+        F.floor(F.col("id") / (ROW_BITS // 64)).cast("int").alias("_row"), (F.col("id") % (ROW_BITS // 64)).cast("int").alias("i"), F.lit(0).cast("long").alias("x"))
+    longs = at(table).select("_row", long.alias("i"), one.alias("x")).union(none).groupBy("_row", "i").agg(F.bit_or("x").alias("x"))
+    # A list holds the longs of one row: ROW_BITS / 64.
+    bits = longs.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("l")).select("_row", F.col("l")["x"].alias("_bits"))
+    found = F.call_function("shiftrightunsigned", F.get("_bits", long), bit).bitwiseAND(F.lit(1).cast("long")) == 1
+    return at(df).join(F.broadcast(written(bits, "frequent-bits")), "_row").where(found).select(*df.columns)
 
 
 def frequent_phrases(docs: DataFrame, max_words: int = MAX_WORDS, least: int = LEAST) -> tuple[list[DataFrame], DataFrame]:
-    """Tables ``(g, lang, words, f)`` of frequent phrases of 1, 2, ... words, and ``(lang, n)``."""
+    """Tables ``(lang, words, f)`` of frequent phrases of 1, 2, ... words, and ``(lang, n)``."""
     spark = docs.sparkSession
     prepare(spark)
     docs = docs.select(F.coalesce("text", F.lit("")).alias("text"), F.coalesce("lang", F.lit("und")).alias("lang"))
     counts = written(word_counts(docs), "words")
     total = counts.groupBy("lang").agg(F.sum("n").alias("n"))
     words = written(counts.where(F.col("n") >= least).select(
-        F.monotonically_increasing_id().alias("g"), "lang", "word", F.col("n").alias("f")), "frequent-words")
-    levels = [words.select("g", "lang", F.array("word").alias("words"), "f")]
+        F.monotonically_increasing_id().alias("g1"), "lang", "word", F.col("n").alias("f")), "frequent-words")
+    levels = [words.select("g1", "lang", F.array("word").alias("words"), "f")]
 
     n = counts.agg(F.sum("n")).first()[0] or 0
     rel = _Relations(spark, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // BUCKET_ROWS)))
-    whole = spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition")
-    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")   # bucketed by piece, joined on (piece, pos)
+    # Bucketed by piece, joined on (piece, pos); a bucket of one file is read in the order in which it was written.
+    settings = {"spark.sql.requireAllClusterKeysForCoPartition": "false", "spark.sql.legacy.bucketedTableScan.outputOrdering": "true"}
+    whole = {name: spark.conf.get(name) for name in settings}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
     try:
-        known = _small(words.select("lang", "word", "g"), F.octet_length("lang") + F.octet_length("word"))
-        first = occurrences(docs).join(known, ["lang", "word"]).select("piece", "pos", "g")
-        r1 = before = rel.write(first.repartition(rel.buckets, "piece"), 1)
+        known = _small(words.select("lang", "word", "g1"), F.octet_length("lang") + F.octet_length("word"))
+        first = occurrences(docs).join(known, ["lang", "word"]).select("piece", "pos", "g1")
+        r1 = rel.write(first.repartition(rel.buckets, "piece"), 1)
+        before = r1.withColumn("pos", F.col("pos") + 1)
         for k in range(2, max_words + 1):
+            phrase = [f"g{i}" for i in range(1, k + 1)]
             grown = _extended(before, r1, k)
-            table = written(grown.groupBy("g", "w").agg(F.count(F.lit(1)).alias("f")).where(F.col("f") >= least)
-                                 .withColumn("id", F.monotonically_increasing_id()), "frequent-groups")
-            last = words.select(F.col("g").alias("w"), "word")
-            levels.append(written(table.join(levels[-1].select("g", "lang", "words"), "g").join(last, "w").select(
-                F.col("id").alias("g"), "lang", F.concat("words", F.array("word")).alias("words"), "f"), "frequent-phrases"))
+            table = written(grown.groupBy(*phrase).agg(F.count(F.lit(1)).alias("f")).where(F.col("f") >= least), "frequent-groups")
+            last = words.select(F.col("g1").alias(phrase[-1]), "word")
+            levels.append(written(table.join(levels[-1].select(*phrase[:-1], "lang", "words"), phrase[:-1]).join(last, phrase[-1]).select(
+                *phrase, "lang", F.concat("words", F.array("word")).alias("words"), "f"), "frequent-phrases"))
             if k < max_words:
-                kept = grown.join(_small(table.select("g", "w", "id")), ["g", "w"])
-                before = rel.write(kept.select("piece", "pos", F.col("id").alias("g")), k)
+                before = rel.write(_may_be_in(grown, table, phrase), k)
     finally:
-        spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", whole)
+        for name, value in whole.items():
+            spark.conf.set(name, value)
         rel.drop()
-    return levels, total
+    return [level.select("lang", "words", "f") for level in levels], total
 
 
 def _phrase(words) -> Column:

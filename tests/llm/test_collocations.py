@@ -1,6 +1,8 @@
 import re
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from msgshield.llm import collocations
 from .helpers import clashing, edge_docs, empty_docs, rows
 
@@ -75,3 +77,27 @@ def test_edges(spark):
     assert rows(collocations.collocations(odd, least=2)) == rows(collocations.collocations(edge_docs(spark), least=2))
     long = docs_of(spark, [(" ".join(f"w{i % 50}" for i in range(5000)), "en")])
     assert found(collocations.collocations(long, max_words=2)) == plain([(" ".join(f"w{i % 50}" for i in range(5000)), "en")], 2)
+
+
+def test_occurrences_are_not_shuffled_to_be_looked_up_in_a_large_table(spark, monkeypatch):
+    """However many phrases are frequent, theirs and few other occurrences are written, by a bitmap; one with hardly a
+    bit free lets more through and changes no result."""
+    table = spark.range(0, 3000, 3).select(F.col("id").alias("g1"), (F.col("id") * 7).alias("g2"))
+    grown = spark.range(3000).select(F.lit(1).alias("piece"), F.col("id").cast("int").alias("pos"), F.col("id").alias("g1"), (F.col("id") * 7).alias("g2"))
+    monkeypatch.setattr(collocations, "BROADCAST_ROWS", 0)
+    kept = collocations._may_be_in(grown, table, ["g1", "g2"])
+    assert kept.columns == grown.columns and "SortMergeJoin" not in kept._jdf.queryExecution().executedPlan().toString()
+    pos = {r.pos for r in kept.collect()}
+    assert set(range(0, 3000, 3)) <= pos and len(pos) < 1010
+    monkeypatch.setattr(collocations, "BITMAP_BITS", 64)
+    monkeypatch.setattr(collocations, "ROW_BITS", 64)
+    assert collocations._may_be_in(grown, table, ["g1", "g2"]).count() > 2900
+    assert found(collocations.collocations(docs_of(spark, TEXTS), max_words=4)) == plain(TEXTS, 4)
+
+
+def test_words_are_counted_over_batches(spark, monkeypatch):
+    docs = docs_of(spark, TEXTS * 3).select(F.coalesce("text", F.lit("")).alias("text"), F.coalesce("lang", F.lit("und")).alias("lang"))
+    want = rows(collocations.word_counts(docs))
+    monkeypatch.setattr(collocations, "_OUT_ROWS", 1)
+    assert rows(collocations.word_counts(docs)) == want and sum(r[2] for r in want) == 3 * collocations.word_counts(
+        docs_of(spark, TEXTS).select(F.coalesce("text", F.lit("")).alias("text"), "lang")).agg(F.sum("n")).first()[0]
